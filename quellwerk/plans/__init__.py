@@ -1 +1 @@
-
+from quellwerk.plans import corpus  # noqa: F401  registers its queries
