@@ -6,6 +6,10 @@ ranking does not depend on the order in which partial sums meet.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,15 +77,42 @@ def finite(embedding: Column | str) -> Column:
     return F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def dense_scores(queries: DataFrame, vectors: DataFrame, mask: tuple[str, ...] = ()) -> DataFrame:
-    """(query_id, id, score): a stated query set against all vectors, or those that agree in `mask`.
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 2048) -> DataFrame:
+    """(query_id, id, score, rank): a stated query set against all other finite vectors, in blocks of queries.
 
-    queries: (query_id, embedding, mask...); vectors: (id, embedding, mask...).
+    queries: (query_id, embedding); vectors: (id, embedding). Each block, of bounded
+    size, goes to the executors once; a matrix product scores a batch of vectors
+    against it and keeps the k best of each query in the batch, so at most k rows a
+    query and batch are shuffled. A query does not find the vector with its own id.
     """
-    left = queries.select("query_id", F.col("embedding").alias("q"), *mask)
-    right = vectors.where(finite("embedding")).select("id", F.col("embedding").alias("e"), *mask)
-    pairs = right.join(left, list(mask)) if mask else right.join(left, F.lit(True))
-    return pairs.select("query_id", "id", *mask, F.round(dot("q", "e"), 6).alias("score"))
+    spark = queries.sparkSession
+    asked = queries.where(finite("embedding")).withColumn("_row", F.monotonically_increasing_id())
+    clean = vectors.where(finite("embedding")).select("id", "embedding")
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
+    hashed = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-asked.count() // block)))))
+    parts = []
+    for number in sorted(r["_block"] for r in hashed.select("_block").distinct().collect()):
+        rows = hashed.where(F.col("_block") == number).select("query_id", "embedding").toPandas()
+        shared = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), np.stack(rows["embedding"]).astype(np.float64)))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            names, matrix = shared.value
+            for batch in batches:
+                ids = batch["id"].to_numpy()
+                scores = np.round(matrix @ np.stack(batch["embedding"]).astype(np.float64).T, 6)
+                scores[names[:, None] == ids[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+                q = np.repeat(np.arange(len(names)), order.shape[1])
+                out = pd.DataFrame({"query_id": names[q], "id": ids[order.ravel()], "score": scores[q, order.ravel()]})
+                yield out[np.isfinite(out["score"])]
+
+        parts.append(clean.mapInPandas(run, kinds))
+    if not parts:
+        parts = [spark.createDataFrame([], kinds)]
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionAll(part)
+    return top_k(union, ["query_id"], k)
 
 
 def random_ranks(pairs: DataFrame, seed: int, query: str = "query_id", item: str = "id") -> DataFrame:

@@ -1 +1 @@
-from quellwerk.plans import corpus  # noqa: F401  registers its queries
+from quellwerk.plans import corpus, search, values  # noqa: F401  register their queries
