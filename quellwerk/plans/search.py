@@ -16,15 +16,21 @@ from quellwerk.plans.tables import SQL_ITEMS, SQL_PATIENTS, SQL_REPORTS, SQL_SEC
 from quellwerk.session import read_table, spread
 
 _NORM = "replace(trim(regexp_replace(lower(coalesce({0}, '')), '[^0-9a-zA-ZäöüÄÖÜß]+', ' ', 'g')), ' ', '_')"
-_CUT = "CASE WHEN length(t) >= 3 THEN list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)) WHEN t <> '' THEN [t] ELSE [] END"
+_GRAMS = "CASE WHEN t = '' THEN 0 ELSE greatest(length(t) - 2, 1) END"
+
+
+def _sql_grams(source: str, keep: str) -> str:
+    return f"SELECT {keep}, {_GRAMS} AS dl, CASE WHEN length(t) >= 3 THEN substr(t, i, 3) ELSE t END AS term FROM (SELECT *, unnest(range(1, {_GRAMS} + 1)) AS i FROM {source})"
+
+
 _POSTINGS = f"""docs AS (SELECT section_id AS id, patient_id, section_name, {_NORM.format('section_content')} AS t FROM secs),
-    dg AS (SELECT id, patient_id, len({_CUT}) AS dl, unnest({_CUT}) AS term FROM docs),
-    post AS (SELECT id, patient_id, dl, term, count(*) AS tf FROM dg GROUP BY ALL),
-    asked AS (SELECT qa_id AS query_id, items.section_id AS gold_id, question, items.section_name AS gold_name, phenomena, secs.patient_id FROM items LEFT JOIN secs USING (section_id) WHERE qa_id % 20 = 0),
-    qg AS (SELECT DISTINCT query_id, patient_id, unnest({_CUT}) AS term FROM (SELECT query_id, patient_id, {_NORM.format('question')} AS t FROM asked))"""
+    dg AS ({_sql_grams('docs', 'id, patient_id')}),
+    post AS MATERIALIZED (SELECT id, patient_id, dl, term, count(*) AS tf FROM dg GROUP BY ALL),
+    asked AS MATERIALIZED (SELECT qa_id AS query_id, items.section_id AS gold_id, question, items.section_name AS gold_name, phenomena, secs.patient_id FROM items LEFT JOIN secs USING (section_id) WHERE qa_id % 20 = 0),
+    qg AS MATERIALIZED (SELECT DISTINCT query_id, patient_id, term FROM ({_sql_grams("(SELECT query_id, patient_id, " + _NORM.format('question') + " AS t FROM asked)", "query_id, patient_id")}))"""
 _WEIGHT = "ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))"
 _GLOBAL = f"""{_POSTINGS}, lens AS (SELECT DISTINCT id, dl FROM post), tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lens),
-    dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term)"""
+    dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM post GROUP BY term)"""
 
 
 def _section_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +49,7 @@ def _query_grams(asked: DataFrame) -> DataFrame:
 
 
 @query(
-    f"""WITH {SQL_SECTIONS}, {SQL_ITEMS}, {_GLOBAL}, scored AS (SELECT query_id, id, round(sum({_WEIGHT}), 6) AS score FROM (SELECT query_id, term FROM qg) JOIN post USING (term) JOIN dfs USING (term), tot GROUP BY ALL)
+    f"""WITH {SQL_SECTIONS}, {SQL_ITEMS}, {_GLOBAL}, scored AS MATERIALIZED (SELECT query_id, id, round(sum({_WEIGHT}), 6) AS score FROM (SELECT query_id, term FROM qg) JOIN post USING (term) JOIN dfs USING (term), tot GROUP BY ALL)
     SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 10"""
 )
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +58,8 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_k(retrieval.bm25(_section_postings(spark, sf_dir), asked), ["query_id"], 10)
 
 
-_MASKED = f"""scored AS (SELECT query_id, id, round(sum({_WEIGHT}), 6) AS score FROM qg JOIN post USING (term, patient_id) JOIN dfs USING (term), tot GROUP BY ALL),
-    ranked AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 20),
+_MASKED = f"""scored AS MATERIALIZED (SELECT query_id, id, round(sum({_WEIGHT}), 6) AS score FROM qg JOIN post USING (term, patient_id) JOIN dfs USING (term), tot GROUP BY ALL),
+    ranked AS MATERIALIZED (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 20),
     hits AS (SELECT query_id, min(rank) - 1 AS first_rank, list_sort(list(rank)) AS ranks FROM ranked JOIN asked USING (query_id) WHERE id = gold_id GROUP BY query_id),
     judged AS (SELECT asked.*, first_rank, coalesce(ranks, []) AS ranks FROM asked LEFT JOIN hits USING (query_id))"""
 
@@ -112,8 +118,8 @@ def section_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {SQL_SECTIONS}, {SQL_ITEMS}, {_POSTINGS.replace('FROM secs)', 'FROM secs WHERE length(section_content) > 50)', 1)}, lens AS (SELECT DISTINCT id, patient_id, dl FROM post),
-    tot AS (SELECT patient_id, count(*) AS n, avg(dl) AS avgdl FROM lens GROUP BY 1), dfs AS (SELECT patient_id, term, count(*) AS df FROM post GROUP BY ALL),
-    scored AS (SELECT query_id, id, round(sum({_WEIGHT}), 6) AS score FROM qg JOIN post USING (term, patient_id) JOIN dfs USING (term, patient_id) JOIN tot USING (patient_id) GROUP BY ALL)
+    tot AS (SELECT patient_id, count(*) AS n, avg(dl) AS avgdl FROM lens GROUP BY 1), dfs AS MATERIALIZED (SELECT patient_id, term, count(*) AS df FROM post GROUP BY ALL),
+    scored AS MATERIALIZED (SELECT query_id, id, round(sum({_WEIGHT}), 6) AS score FROM qg JOIN post USING (term, patient_id) JOIN dfs USING (term, patient_id) JOIN tot USING (patient_id) GROUP BY ALL)
     SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 5"""
 )
 def bm25_per_patient(spark: SparkSession, sf_dir: str) -> DataFrame:

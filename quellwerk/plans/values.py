@@ -42,7 +42,7 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GRAMS = r"""norm AS (SELECT doc_id, replace(trim(regexp_replace(lower(coalesce(text, '')), '[^0-9a-zA-ZäöüÄÖÜß]+', ' ', 'g')), ' ', '_') AS t FROM documents),
-    grams AS (SELECT doc_id, unnest(CASE WHEN length(t) >= 3 THEN list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)) WHEN t <> '' THEN [t] ELSE [] END) AS gram FROM norm)"""
+    grams AS (SELECT doc_id, CASE WHEN length(t) >= 3 THEN substr(t, i, 3) ELSE t END AS gram FROM (SELECT *, unnest(range(1, CASE WHEN t = '' THEN 0 ELSE greatest(length(t) - 2, 1) END + 1)) AS i FROM norm))"""
 
 
 @query(f"WITH {_GRAMS} SELECT gram, count(*) AS tf, count(DISTINCT doc_id) AS df FROM grams GROUP BY gram")
