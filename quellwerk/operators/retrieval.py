@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quellwerk.functions.names import stemmed
 from quellwerk.functions.text import char_grams
+from quellwerk.session import cut_lineage
 
 K1, B = 1.2, 0.75
 
@@ -59,7 +60,7 @@ def bm25(postings: DataFrame, queries: DataFrame, scope: tuple[str, ...] = (), m
     by = list(scope)
     lengths = postings.select("id", "dl", *by).distinct().groupBy(*by).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     vocabulary = queries.select("term").distinct()
-    cut = postings.join(vocabulary, "term", "left_semi")
+    cut = cut_lineage(postings.join(vocabulary, "term", "left_semi"))  # read twice below
     df = cut.groupBy("term", *by).agg(F.count("*").alias("df"))
     stats = df.join(lengths, by) if by else df.crossJoin(F.broadcast(lengths))  # one row
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
