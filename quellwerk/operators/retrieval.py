@@ -6,15 +6,17 @@ ranking does not depend on the order in which partial sums meet.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quellwerk.functions.names import stemmed
-from quellwerk.functions.text import char_grams
+from quellwerk.functions.text import GRAM_ALPHABET, char_grams
 from quellwerk.session import cut_lineage
 
 K1, B = 1.2, 0.75
@@ -69,6 +71,92 @@ def bm25(postings: DataFrame, queries: DataFrame, scope: tuple[str, ...] = (), m
     return joined.groupBy("query_id", "id", *mask).agg(F.round(F.sum("w"), 6).alias("score")).where(F.col("score") > least)
 
 
+_NOT_GRAM = re.compile(GRAM_ALPHABET)
+
+
+def grams_of(text: str | None, n: int = 3) -> Counter:
+    """The counts of char_grams, for work inside Arrow batches."""
+    flat = _NOT_GRAM.sub(" ", (text or "").lower()).strip(" ").replace(" ", "_")
+    return Counter(flat[i : i + n] for i in range(len(flat) - n + 1)) if len(flat) >= n else Counter([flat] if flat else [])
+
+
+def bm25_blocks(docs: DataFrame, queries: DataFrame, k: int, id_col: str, text_col: str, block: int = 512) -> DataFrame:
+    """(query_id, id, score, rank): k best of all documents for a stated query set, in blocks of queries.
+
+    queries: (query_id, text). No posting is shuffled: a block of queries, of bounded
+    size, goes to the executors; one pass over the documents counts how many hold each
+    of the block's grams, a second scores every document against the whole block by a
+    product of its gram weights with the block's matrix and keeps the k best of each
+    query in a batch. Only those are shuffled.
+    """
+    spark = docs.sparkSession
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    id_type = source.schema["id"].dataType.simpleString()
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {id_type}, score double"
+    hashed = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // block)))))
+    parts = []
+    for number in sorted(r["_block"] for r in hashed.select("_block").distinct().collect()):
+        asked = hashed.where(F.col("_block") == number).select("query_id", "text").toPandas()
+        grams = [sorted(grams_of(t)) for t in asked["text"]]
+        place = {g: i for i, g in enumerate(sorted({g for found in grams for g in found}))}
+        names = asked["query_id"].to_numpy()
+        vocabulary = spark.sparkContext.broadcast(place)
+
+        def count(batches: Iterator[pd.DataFrame], vocabulary=vocabulary) -> Iterator[pd.DataFrame]:
+            place, df, docs, length = vocabulary.value, Counter(), 0, 0
+            for batch in batches:
+                for text in batch["text"]:
+                    found = grams_of(text)
+                    if found:
+                        docs, length = docs + 1, length + found.total()
+                        df.update(found.keys() & place.keys())
+            yield pd.DataFrame({"place": [-1, -2, *(place[g] for g in df)], "n": [docs, length, *df.values()]})
+
+        counts = dict(source.mapInPandas(count, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False))
+        n = counts.get(-1, 0)
+        if not n or not place:
+            continue
+        df = np.array([counts.get(i, 0) for i in range(len(place))], float)
+        matrix = np.zeros((len(place), len(names)))
+        for q, found in enumerate(grams):
+            at = [place[g] for g in found]
+            matrix[at, q] = np.log((n - df[at] + 0.5) / (df[at] + 0.5) + 1)
+        shared = spark.sparkContext.broadcast((place, names, matrix, counts[-2] / n))
+
+        def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            place, names, matrix, avgdl = shared.value
+            for batch in batches:
+                for low in range(0, len(batch), 1024):
+                    rows = batch.iloc[low : low + 1024]
+                    scores = np.zeros((len(rows), len(names)))
+                    for r, text in enumerate(rows["text"]):
+                        found = grams_of(text)
+                        at = [(place[g], tf) for g, tf in found.items() if g in place]
+                        if at:
+                            where, tf = np.array(at).T
+                            scores[r] = (tf * (K1 + 1) / (tf + K1 * (1 - B + B * found.total() / avgdl))) @ matrix[where]
+                    yield best_of_batch(names, rows["id"].to_numpy(), np.round(scores.T, 6), k)
+
+        parts.append(source.mapInPandas(score, kinds))
+    return top_k(union_of(parts, spark, kinds), ["query_id"], k)
+
+
+def best_of_batch(names: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int, zero: bool = False) -> pd.DataFrame:
+    """The k best ids of each query (row of scores) by score, ties to the smaller id; no infinite score, and a zero only on demand."""
+    by_id = np.argsort(ids, kind="stable")
+    order = by_id[np.argsort(-scores[:, by_id], axis=1, kind="stable")[:, :k]]
+    q = np.repeat(np.arange(len(names)), order.shape[1])
+    out = pd.DataFrame({"query_id": names[q], "id": ids[order.ravel()], "score": scores[q, order.ravel()]})
+    return out[np.isfinite(out["score"]) & ((out["score"] != 0) | zero)]
+
+
+def union_of(parts: list[DataFrame], spark: SparkSession, kinds: str) -> DataFrame:
+    out = parts[0] if parts else spark.createDataFrame([], kinds)
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     """Dot product of two arrays in double precision; null if one is null."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -102,18 +190,10 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int =
                 ids = batch["id"].to_numpy()
                 scores = np.round(matrix @ np.stack(batch["embedding"]).astype(np.float64).T, 6)
                 scores[names[:, None] == ids[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-                q = np.repeat(np.arange(len(names)), order.shape[1])
-                out = pd.DataFrame({"query_id": names[q], "id": ids[order.ravel()], "score": scores[q, order.ravel()]})
-                yield out[np.isfinite(out["score"])]
+                yield best_of_batch(names, ids, scores, k, zero=True)
 
         parts.append(clean.mapInPandas(run, kinds))
-    if not parts:
-        parts = [spark.createDataFrame([], kinds)]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionAll(part)
-    return top_k(union, ["query_id"], k)
+    return top_k(union_of(parts, spark, kinds), ["query_id"], k)
 
 
 def random_ranks(pairs: DataFrame, seed: int, query: str = "query_id", item: str = "id") -> DataFrame:

@@ -54,8 +54,8 @@ def _query_grams(asked: DataFrame) -> DataFrame:
 )
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character-gram BM25 over all sections, ten best a question."""
-    asked = _query_grams(asked_items(spark, sf_dir)).drop("patient_id")
-    return retrieval.top_k(retrieval.bm25(_section_postings(spark, sf_dir), asked), ["query_id"], 10)
+    asked = asked_items(spark, sf_dir).select("query_id", F.col("question").alias("text"))
+    return retrieval.bm25_blocks(spread(sections(spark, sf_dir, "section_content")), asked, 10, "section_id", "section_content")
 
 
 _MASKED = f"""scored AS MATERIALIZED (SELECT query_id, id, round(sum({_WEIGHT}), 6) AS score FROM qg JOIN post USING (term, patient_id) JOIN dfs USING (term), tot GROUP BY ALL),
