@@ -223,9 +223,10 @@ def other_language(question: str, answer: str) -> bool:
     asked, said = votes(question), votes(answer)
     if not asked or not said:
         return False
-    language = max(asked, key=asked.get)
+    most = max(asked.values())
+    likely = [language for language, count in asked.items() if count == most]
     best = max(said, key=said.get)
-    return best != language and said[best] >= 1.75 and said[best] > 1.5 * said.get(language, 0) + 0.5
+    return best not in likely and said[best] >= 1.75 and said[best] > 1.5 * max(said.get(x, 0) for x in likely) + 0.5
 
 
 def unclosed(answer: str) -> bool:

@@ -44,7 +44,7 @@ ONE = re.compile(ONE_NAME)
 LISTED = re.compile(LISTED_NAME)
 # Titles between a signal word and the name.
 TITLES = re.compile(
-    rf"(?:(?:Herrn?|Frau|HERRN?|FRAU|Fr\.|Hr\.|Kolleg(?:in|en|e)|Prof(?:essor(?:in)?)?\.?|PD|Priv\.-Doz\.|Dres?\.?|Dipl\.-\w+\.?|med\.|dent\.|rer\.|nat\.|phil\.|univ\.|habil\.|h\.{H}?c\.|mult\.|OÄ|OA|CÄ|CA|Ober(?:arzt|ärztin)|Chef(?:arzt|ärztin)|Assistenz(?:arzt|ärztin)|Fach(?:arzt|ärztin)|Sr\.|Sra\.|Dra\.)(?:{H}+|(?<=\.)))+"
+    rf"(?:(?:Herrn?|Frau|HERRN?|FRAU|Fr\.|Hr\.|Kolleg(?:in|en|e)|Prof(?:essor(?:in)?)?\.?|PD|Priv\.-Doz\.|Dr(?:es)?\.?|Dipl\.-\w+\.?|med\.|dent\.|rer\.|nat\.|phil\.|univ\.|habil\.|h\.{H}?c\.|mult\.|OÄ|OA|CÄ|CA|Ober(?:arzt|ärztin)|Chef(?:arzt|ärztin)|Assistenz(?:arzt|ärztin)|Fach(?:arzt|ärztin)|Sr\.|Sra\.|Dra\.)(?:{H}+|(?<=\.)))+"
 )
 # Capitalised words that are no names after a signal word.
 NO_NAMES = frozenset(
