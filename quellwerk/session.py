@@ -36,15 +36,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A shuffled frame estimated under this size is spread again before Python work, as adaptive execution may have put it into one partition.
+SMALL_BYTES = 256 << 20
+_SHUFFLING = ("Window", "Aggregate", "Join", "Sort", "Distinct", "Repartition")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a scan of fewer splits than cores (one small file) before Python work.
 
     A scan that already has a task for every core is left alone, so nothing is
-    shuffled where the input is large.
+    shuffled where the input is large; a shuffled frame only if it is small.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    if df.sparkSession.conf.get("spark.master", "").startswith("local-cluster") or wanted < 2:
-        wanted = max(wanted, 6)
+    wanted = max(2, df.sparkSession.sparkContext.defaultParallelism)
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if any(name in plan.toString() for name in _SHUFFLING):
+        small = plan.stats().sizeInBytes().longValue() < SMALL_BYTES if plan.stats().sizeInBytes().isValidLong() else False
+        return df.repartition(wanted) if small else df
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted // 2 else df
 
 
