@@ -65,7 +65,7 @@ STOPWORDS = {
     "nl": "de het een en van is zijn was met voor op niet bij naar uit door patiënt werd",
 }
 # Letters and marks that only one of these languages writes.
-MARKS = {"ß": "de", "ä": "de", "ö": "de", "ü": "de", "„": "de", "¡": "es", "¿": "es", "ñ": "es", "ó": "es", "í": "es", "ú": "es", "á": "es", "è": "fr", "ê": "fr", "à": "fr", "ç": "fr", "œ": "fr", "î": "fr", "û": "fr", "ù": "fr", "ã": "pt", "õ": "pt"}
+MARKS = {"ß": "de", "ä": "de", "ö": "de", "ü": "de", "„": "de", "¡": "es", "¿": "es", "ñ": "es", "ó": "es", "í": "es", "ú": "es", "á": "es", "è": "fr", "ê": "fr", "à": "fr", "ç": "fr", "é": "fr", "œ": "fr", "î": "fr", "û": "fr", "ù": "fr", "ã": "pt", "õ": "pt"}
 SCRIPTS = [("ru", "Ѐ", "ӿ"), ("el", "Ͱ", "Ͽ"), ("he", "֐", "׿"), ("ar", "؀", "ۿ"), ("hi", "ऀ", "ॿ"), ("th", "฀", "๿"), ("ja", "぀", "ヿ"), ("ko", "가", "힣"), ("zh", "一", "鿿")]
 
 # Words after which a German, English, French or Spanish clause cannot end.
@@ -351,7 +351,7 @@ def defective_pairs(df: DataFrame, id_col: str = "qa_id", question_col: str = "q
     starts = long_words.select(F.explode(F.expr("transform(sequence(1, least(length(word), 40) - 1), i -> substring(word, 1, i))")).alias("tail")).distinct().withColumn("begins", F.lit(True))
     known = tails.join(one, "tail", "left").join(follow, "before", "left").join(starts, "tail", "left").na.fill(0).na.fill(False)
     in_word = (F.col("mid1") + F.col("end1") == 0) & F.col("begins")
-    in_clause = (F.col("end1") == 0) & (F.col("mid1") >= 20) & (F.col("end2") < (F.col("mid2") + F.col("end2")) * 0.2)
+    in_clause = (F.col("end1") == 0) & (F.col("mid1") >= 50) & (F.col("end2") < (F.col("mid2") + F.col("end2")) * 0.2)
     cut = known.select("tail", "before", in_word.alias("in_word"), in_clause.alias("in_clause")).where("in_word or in_clause")
     found = pairs.join(cut, ["tail", "before"], "left")
     late = F.when(F.col("in_word") | (F.col("in_clause") & F.col("longer")), "truncated")
