@@ -50,7 +50,7 @@ def spread(df: DataFrame) -> DataFrame:
     wanted = max(2, df.sparkSession.sparkContext.defaultParallelism)
     plan = df._jdf.queryExecution().optimizedPlan()
     if any(name in plan.toString() for name in _SHUFFLING):
-        small = plan.stats().sizeInBytes().longValue() < SMALL_BYTES if plan.stats().sizeInBytes().isValidLong() else False
+        small = int(str(plan.stats().sizeInBytes())) < SMALL_BYTES
         return df.repartition(wanted) if small else df
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted // 2 else df
 
