@@ -12,20 +12,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quellwerk.functions.names import stemmed
-from quellwerk.functions.text import GRAM_ALPHABET, char_grams
+from quellwerk.functions.text import GRAM_ALPHABET
 from quellwerk.session import cut_lineage
 
 K1, B = 1.2, 0.75
 
 
 def gram_counts(docs: DataFrame, id_col: str, text_col: str, n: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, term, tf, dl, keep...): counted inside each row, so nothing is shuffled."""
-    grams = docs.select(F.col(id_col).alias("id"), *keep, char_grams(text_col, n).alias("grams")).where(F.size("grams") > 0)
-    return grams.select("id", *keep, F.size("grams").alias("dl"), F.explode("grams").alias("term")).groupBy("id", *keep, "dl", "term").agg(F.count("*").alias("tf"))
+    """(id, keep..., dl, term, tf): counted inside each row in Arrow batches, so nothing is shuffled.
+
+    Measured against exploding char_grams and grouping, which shuffles every gram.
+    """
+    source = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("_text"))
+    names = ["id", *keep]
+    kinds = ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, lengths, terms, counts = [], [], [], []
+            for i, text in enumerate(batch.column(len(names)).to_pylist()):
+                found = grams_of(text, n)
+                rows.append(np.full(len(found), i))
+                lengths.append(np.full(len(found), found.total()))
+                terms += found.keys()
+                counts += found.values()
+            at = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64))
+            length = pa.array(np.concatenate(lengths) if rows else np.empty(0, np.int64), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(names))), length, pa.array(terms, pa.string()), pa.array(counts, pa.int64())], [*names, "dl", "term", "tf"])
+
+    return source.mapInArrow(run, f"{kinds}, dl int, term string, tf bigint")
 
 
 def word_counts(docs: DataFrame, id_col: str, text_col: str, stem: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:

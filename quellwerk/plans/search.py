@@ -124,9 +124,11 @@ def section_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bm25_per_patient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of the patient's own sections of over 50 characters; five best."""
-    docs = spread(sections(spark, sf_dir, "patient_id", "section_content").where(F.length("section_content") > 50))
-    postings = retrieval.gram_counts(docs, "section_id", "section_content", keep=("patient_id",))
-    scored = retrieval.bm25(postings.where("patient_id is not null"), _query_grams(asked_items(spark, sf_dir)), scope=("patient_id",), mask=("patient_id",))
+    asked = asked_items(spark, sf_dir)
+    docs = sections(spark, sf_dir, "patient_id", "section_content").where(F.length("section_content") > 50)
+    docs = docs.join(asked.select("patient_id").distinct(), "patient_id", "left_semi")  # other patients' statistics are not asked for
+    postings = retrieval.gram_counts(spread(docs), "section_id", "section_content", keep=("patient_id",))
+    scored = retrieval.bm25(postings, _query_grams(asked), scope=("patient_id",), mask=("patient_id",))
     return retrieval.top_k(scored, ["query_id"], 5).select("query_id", "id", "score", "rank")
 
 
