@@ -27,22 +27,20 @@ def insert_new(existing: DataFrame, incoming: DataFrame, keys: list[str], order:
 def duplicate_status(df: DataFrame, content: str, owner: str, order: list[Column]) -> DataFrame:
     """df with sha256 computed anew and status: inserted, duplicate (same owner holds it), conflict (another owner does).
 
-    The first row of a content in the given order is inserted, over all owners; null
-    content has a null hash and is `skipped`. The copies of one content are ranked in
-    one partition, as a rank needs; the hash, not the content, is shuffled.
+    The first row of a content in the given order, which must tell rows apart, is
+    inserted, over all owners; null content has a null hash and is `skipped`. Only
+    first rows are aggregated, combined before the shuffle, so a content that many
+    rows share is no task of its own.
     """
-    sha = F.sha2(F.col(content), 256)
-    hashed = df.withColumn("sha256", sha)
-    by_hash = Window.partitionBy("sha256").orderBy(*order)
-    first_owner = F.first(owner).over(by_hash)
-    first_of_owner = F.row_number().over(Window.partitionBy("sha256", owner).orderBy(*order))
+    hashed = df.withColumn("sha256", F.sha2(F.col(content), 256)).withColumn("_at", F.struct(*order))
+    firsts = hashed.where(F.col("sha256").isNotNull()).groupBy("sha256").agg(F.min(F.struct("_at", F.col(owner).alias("_owner"))).alias("_first"))
     status = (
         F.when(F.col("sha256").isNull(), "skipped")
-        .when(F.row_number().over(by_hash) == 1, "inserted")
-        .when(F.col(owner).eqNullSafe(first_owner), "duplicate")
+        .when(F.col("_at").eqNullSafe(F.col("_first._at")), "inserted")
+        .when(F.col(owner).eqNullSafe(F.col("_first._owner")), "duplicate")
         .otherwise("conflict")
     )
-    return hashed.withColumn("status", status).withColumn("copy_of_owner", first_of_owner - 1)
+    return hashed.join(firsts, "sha256", "left").withColumn("status", status).drop("_at", "_first")
 
 
 def unique_names(df: DataFrame, name: str, order: list[Column], mark: str = "_", into: str = "unique_name") -> DataFrame:
