@@ -55,10 +55,10 @@ INNER = frozenset(
     approx fig figs vs cf e.g i.e mr mrs ms jr vol pp sec env c.-à-d mme mlle m sr sra dra dres ud p.ej ej pág núm v ff.s g.g.f resp rd stk kl jg hl jh
     ок рис см т.е т.д проф им стр гл ул д-р акад напр дом кв डॉ श्री प्रो د นพ พญ""".split()
 )
-# Months and nouns that follow an ordinal number.
+# Months and nouns that, after a number and a full stop, make it an ordinal whatever stands before.
 ORDINAL_NOUNS = frozenset(
-    """januar februar märz april mai juni juli august september oktober november dezember jänner tag tage tages zyklus zyklen lebensjahr lebensjahres lebensmonat lebenswoche og ug eg etage stock woche monat quartal jahrhundert grades ordnung klasse
-    mal dosis gabe rippe finger zehe hirnnerv linie serie kontrolle sitzung fraktion kur bestrahlung auflage abschnitt kapitel postoperativen ebene stufe phase schwangerschaftswoche ssw trimenon""".split()
+    """januar februar märz april mai juni juli august september oktober november dezember jänner tag tage tages zyklus zyklen lebensjahr lebensjahres lebensmonat lebenswoche og ug etage stock jahrhundert
+    quartal postoperativen schwangerschaftswoche ssw trimenon""".split()
 )
 ORDINAL_HEADS = frozenset("am im vom zum dem der den des das die beim ins ans jeder jedem jeden bis seit ab ein einer einem".split())
 

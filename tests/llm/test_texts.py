@@ -199,6 +199,7 @@ def test_personal_places(text, found):
         ("他说：“咳嗽。”随后好转。复查！\n下一行", ["他说：“咳嗽。”随后好转。", "复查！", "下一行"]),
         ("ให้ยา 5 มก. วันละครั้ง ผู้ป่วยดีขึ้น", ["ให้ยา 5 มก. วันละครั้ง", "ผู้ป่วยดีขึ้น"]),
         ("बुखार था। डॉ. मेहरन आए। क्या?", ["बुखार था।", "डॉ. मेहरन आए।", "क्या?"]),
+        ("Gicht Typ 2. Serie 3 nach i. v. Gabe. Bis einschl. 20. November 2022.", ["Gicht Typ 2.", "Serie 3 nach i. v. Gabe.", "Bis einschl. 20. November 2022."]),
         ("Dr. A. Roth saw it, e.g. at 5 p.m. today. Next!", ["Dr. A. Roth saw it, e.g. at 5 p.m. today.", "Next!"]),
     ],
 )
