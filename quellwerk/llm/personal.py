@@ -117,7 +117,7 @@ _state: dict = {}
 
 
 #: Blanks of other widths, as the signal words are written with plain ones.
-ONE_BLANK = dict.fromkeys(map(ord, "\t\xa0\u202f\u2009\u2007"), " ")
+OTHER_BLANKS = "\t\xa0\u202f\u2009\u2007"
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -338,7 +338,11 @@ def marginals(places: list[Place], text: str) -> list[float]:
 def personal_places(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of the personal information in a text."""
     hits: dict[str, list[tuple[int, str]]] = {}
-    for last, (word, kinds) in automaton().iter(text.translate(ONE_BLANK)):
+    plain = text
+    for blank in OTHER_BLANKS:
+        if blank in text:
+            plain = plain.replace(blank, " ")
+    for last, (word, kinds) in automaton().iter(plain):
         for kind in kinds:
             hits.setdefault(kind, []).append((last + 1, word))
     places: list[Place] = []
