@@ -35,7 +35,6 @@ FULL_MARKS = "。！？｡؟।॥"
 PAIRS = re.compile("[\"„“”«»()\\[\\]（）「」『』《》]")
 CLOSES = {")": "(", "]": "[", "）": "（", "」": "「", "』": "『", "》": "《", "”": "“„"}
 LONGEST_PAIR = 800
-WORD_BEFORE = re.compile(f"[^{WS}]*$")
 DENSE = "฀-๿぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ"
 DENSE_CHAR = re.compile(f"[{DENSE}]")
 THAI = re.compile("[฀-๿]")
@@ -96,6 +95,11 @@ def pairs_of(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return outer
 
 
+def word_before(text: str, low: int, end: int) -> str:
+    part = text[low:end]
+    return part.rsplit(None, 1)[-1] if part and not part[-1].isspace() else ""
+
+
 def closing_score(text: str, start: int, mark: int, end: int) -> float:
     """How well the word and mark at text[mark:end] close a sentence, by themselves."""
     marks = text[mark:end]
@@ -104,7 +108,7 @@ def closing_score(text: str, start: int, mark: int, end: int) -> float:
     if "…" in marks or ".." in marks:
         return 1.5
     low = max(start, mark - 40)
-    word = WORD_BEFORE.search(text, low, mark).group().lstrip("(„\"«[“‚'")
+    word = word_before(text, low, mark).lstrip("(„\"«[“‚'")
     if DENSE_CHAR.search(word):
         word = TAIL.search(word).group() or word[-1]
     if not word:
@@ -226,7 +230,7 @@ def candidates(text: str, start: int, stop: int) -> list[tuple[int, float]]:
             continue
         gain = closing_score(text, start, mark, m.end()) + opening_score(text, i, stop, marks, spaced)
         if not spaced and not quoted and marks == "." and gain > 0:
-            word = WORD_BEFORE.search(text, max(start, mark - 30), mark).group()
+            word = word_before(text, max(start, mark - 30), mark)
             if len(word) < 2 or not (word[-1].islower() or word[-1].isdigit() or word[-1] in ")%"):
                 gain = -4.0
         reached = end
@@ -282,6 +286,8 @@ def is_heading(line: str, fresh: bool) -> bool:
 
 
 def dense(line: str) -> bool:
+    if max(line) < "\u0e00":
+        return False
     letters = len(LETTER.findall(line))
     return letters > 0 and len(DENSE_CHAR.findall(line)) * 2 >= letters
 
