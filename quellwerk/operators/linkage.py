@@ -22,13 +22,18 @@ CAP, DOB, FULL, LAST, FIRST, NEAR = 1.5, 1.0, 0.8, 0.5, 0.3, 90.0
 BUCKETS = [(1.5, "Perfect (1.5)"), (1.0, "Excellent (1.0-1.4)"), (0.8, "Good (0.8-0.9)"), (0.5, "Fair (0.5-0.7)"), (0.1, "Poor (0.1-0.4)"), (0.0, "No match (0.0)")]
 
 
-def signals(files: DataFrame, id_col: str, text_col: str, lines: int = 120) -> DataFrame:
-    """(file_id, names ARRAY of folded name pairs in both orders, dobs ARRAY<DATE>) of the first lines of each file."""
-    head = F.array_join(F.slice(F.split(F.coalesce(text_col, F.lit("")), r"\r?\n"), 1, lines), "\n")
-    found = files.select(F.col(id_col).alias("file_id"), head.alias("h"))
+def signals(files: DataFrame, id_col: str, text_col: str, lines: int = 120, before: tuple[str, ...] = ()) -> DataFrame:
+    """(file_id, names ARRAY of folded name pairs in both orders, dobs ARRAY<DATE>) of each file.
+
+    The columns of `before` (folder, file name) are lines before the text. Dates are
+    taken from all of it, name pairs from its first `lines` lines.
+    """
+    body = F.concat_ws("\n", *(F.coalesce(c, F.lit("")) for c in (*before, text_col)))
+    found = files.select(F.col(id_col).alias("file_id"), body.alias("b"))
+    found = found.select("file_id", "b", F.array_join(F.slice(F.split("b", r"\r?\n"), 1, lines), "\n").alias("h"))
     pairs = F.arrays_zip(F.regexp_extract_all("h", F.lit(NAME_PAIR), F.lit(1)).alias("a"), F.regexp_extract_all("h", F.lit(NAME_PAIR), F.lit(2)).alias("b"))
     both = F.flatten(F.transform(pairs, lambda p: F.array(F.concat_ws(" ", p["a"], p["b"]), F.concat_ws(" ", p["b"], p["a"]))))
-    dobs = F.array_distinct(F.array_compact(F.transform(F.regexp_extract_all("h", F.lit(GERMAN_DATE), F.lit(0)), birth_date)))
+    dobs = F.array_distinct(F.array_compact(F.transform(F.regexp_extract_all("b", F.lit(GERMAN_DATE), F.lit(0)), birth_date)))
     joined = found.select("file_id", fold(F.array_join(F.array_distinct(both), "\n")).alias("n"), dobs.alias("dobs"))
     return joined.select("file_id", F.array_distinct(F.filter(F.split("n", "\n"), lambda x: x != "")).alias("names"), "dobs")
 
@@ -60,9 +65,9 @@ def score_pairs(pairs: DataFrame, found: DataFrame, roster: DataFrame) -> DataFr
     return scored.select("file_id", "patient_id", F.round(F.least(points, F.lit(CAP)), 6).alias("score"))
 
 
-def best_matches(files: DataFrame, roster: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def best_matches(files: DataFrame, roster: DataFrame, id_col: str, text_col: str, before: tuple[str, ...] = ()) -> DataFrame:
     """(file_id, patient_id, score): the best patient of each file, ties to the smaller id; files without a match have score 0."""
-    found = signals(files, id_col, text_col)
+    found = signals(files, id_col, text_col, before=before)
     scored = score_pairs(candidates(found, roster), found, roster).where("score > 0")
     order = Window.partitionBy("file_id").orderBy(F.col("score").desc(), "patient_id")
     best = scored.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")

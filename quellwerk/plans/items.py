@@ -143,8 +143,9 @@ def _roster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def linkage_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The patient of the roster that each report's text points to."""
-    return linkage.best_matches(spread(reports(spark, sf_dir, "content")), _roster(spark, sf_dir), "report_id", "content")
+    """The patient of the roster that each report's folder, file name and text point to."""
+    files = reports(spark, sf_dir, "filename", "content").withColumn("folder", F.regexp_replace("source_path", r"/?[^/]*$", ""))
+    return linkage.best_matches(spread(files), _roster(spark, sf_dir), "report_id", "content", ("folder", "filename"))
 
 
 @query()

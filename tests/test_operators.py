@@ -143,6 +143,14 @@ def test_linkage(spark):
     assert got["none"] == (None, 0.0) and got["null"] == (None, 0.0)
 
 
+def test_linkage_reads_whole_files(spark):
+    roster = spark.createDataFrame([("P1", "anna", "berg", "1960-07-03")], "patient_id string, first string, last string, dob string").withColumn("dob", F.col("dob").cast("date"))
+    late = "\n".join(["zeile"] * 130)
+    files = spark.createDataFrame([("date", "x", "a.md", late + "\ngeb. 03.07.1960"), ("name", "x", "a.md", late + "\nAnna Berg"), ("folder", "Anna Berg", "a.md", late), ("file", None, "RAD 03.07.1960.md", None)], "f string, d string, n string, t string")
+    got = {r["file_id"]: r["score"] for r in linkage.best_matches(files, roster, "f", "t", ("d", "n")).collect()}
+    assert got == {"date": 1.0, "name": 0.0, "folder": 0.8, "file": 1.0}  # names count in the first 120 lines only
+
+
 def test_engine(spark):
     people = spark.createDataFrame([("P1", "Anna", "Berg", "Anna Berg", "1960-07-03")], "patient_id string, firstname string, lastname string, fullname string, dob string")
     reps = spark.createDataFrame([("r1", "P1", "RAD", "2020-01-01", "Die Milz ist groß")], "report_id string, patient_id string, report_type string, report_date string, content string")
