@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quellwerk.functions.dates import german_text
+from quellwerk.functions.names import porter_stem
 from quellwerk.functions.text import fts_terms, words
 from quellwerk.operators import retrieval
 
@@ -103,10 +104,11 @@ class Engine:
 
     def _ranked(self, docs: DataFrame, key: str, body: str, request: SearchRequest) -> DataFrame:
         terms = [t.lower() for t in fts_terms(request.text)]
-        asked = self.spark.createDataFrame([(0, t) for t in dict.fromkeys(terms)], "query_id int, term string")
-        scored = retrieval.bm25(retrieval.word_counts(docs, key, body), asked, floor=True, least=request.least_score)
+        stems = list(dict.fromkeys(map(porter_stem, terms)))
+        asked = self.spark.createDataFrame([(0, t) for t in stems], "query_id int, term string")
+        scored = retrieval.bm25(retrieval.word_counts(docs, key, body, stem=True), asked, floor=True, least=request.least_score)
         hits = docs.where(request.condition(docs.columns)).withColumn("id", F.col(key)).join(scored.select("id", "score"), "id")
-        hits = hits.withColumn("snippet", snippet(F.col(body), terms))
+        hits = hits.withColumn("snippet", snippet(F.col(body), list(dict.fromkeys(terms + stems))))
         if request.per_patient:
             return retrieval.top_k(hits, ["patient_id"], request.k)
         return hits.orderBy(F.desc("score"), "id").limit(request.k)

@@ -162,6 +162,12 @@ def test_engine(spark):
     assert engine.report("r1").count() == 1 and engine.health()["status"] == "ok"
 
 
+def test_engine_stems(spark):
+    secs = spark.createDataFrame([("s1", "P1", "wegen des Bereichs"), ("s2", "P1", "im Bereich"), ("s3", "P1", "Leber klein")], "section_id string, patient_id string, section_content string")
+    engine = Engine(spark, None, None, secs)
+    assert {r["id"] for r in engine.search_sections(SearchRequest("Bereich")).collect()} == {"s1", "s2"} == {r["id"] for r in engine.search_sections(SearchRequest("Bereichs")).collect()}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "P1" / "sub").mkdir(parents=True)
     (tmp_path / "_skip").mkdir()
