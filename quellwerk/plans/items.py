@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quellwerk.functions import text as tx
 from quellwerk.functions.dates import birth_date
 from quellwerk.functions.names import fold
-from quellwerk.operators import items, linkage
+from quellwerk.operators import items, linkage, retrieval
 from quellwerk.operators.sections import overlap_windows
 from quellwerk.plans.registry import query
 from quellwerk.plans.search import _GLOBAL, _MASKED, _patient_ranking
@@ -102,15 +102,43 @@ def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _negatives(spark, sf_dir)[1].select("query_id", "id")
 
 
+def _labelled(spark: SparkSession, sf_dir: str, asked: DataFrame, negatives: DataFrame) -> DataFrame:
+    texts = sections(spark, sf_dir, "section_content").select(F.col("section_id").alias("id"), F.col("section_content").alias("d"))
+    pairs = items.training_pairs(asked.select("query_id", F.col("question").alias("q")), asked.select("query_id", "gold_id").where("gold_id is not null"), negatives, texts)
+    return pairs.select("query_id", "id", F.col("label").cast("double").alias("label"))
+
+
 @query(
     f"""WITH {SQL_SECTIONS}, {SQL_ITEMS}, {_GLOBAL}, {_MASKED}, {_WRONG}, ok AS (SELECT DISTINCT query_id FROM drawn JOIN asked USING (query_id) JOIN secs ON gold_id = section_id)
     SELECT query_id, id, label FROM (SELECT query_id, gold_id AS id, 1.0 AS label FROM asked UNION ALL SELECT query_id, id, 0.0 FROM drawn) JOIN ok USING (query_id)"""
 )
 def training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, negatives = _negatives(spark, sf_dir)
-    texts = sections(spark, sf_dir, "section_content").select(F.col("section_id").alias("id"), F.col("section_content").alias("d"))
-    pairs = items.training_pairs(asked.select("query_id", F.col("question").alias("q")), asked.select("query_id", "gold_id").where("gold_id is not null"), negatives, texts)
-    return pairs.select("query_id", "id", F.col("label").cast("double").alias("label"))
+    return _labelled(spark, sf_dir, *_negatives(spark, sf_dir))
+
+
+# The pool of the method: the fifty best within the patient that are not gold; hard_negatives and training_pairs draw from twenty, as their SQL does.
+_POOL = f"""{_MASKED.replace('rank <= 20', 'rank <= 51', 1)},
+    wrong AS (SELECT query_id, id FROM ranked JOIN asked USING (query_id) WHERE id IS DISTINCT FROM gold_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 50),
+    {_WRONG[_WRONG.index('drawn AS'):]}"""
+
+
+def _negatives_of_50(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    asked, ranking = _patient_ranking(spark, sf_dir, 51)
+    pool = retrieval.top_k(ranking.where(~F.coalesce("relevant", F.lit(False))).select("query_id", "id", "score"), ["query_id"], 50)
+    return asked, items.hard_negatives(pool, asked.select("query_id", "gold_id"))
+
+
+@query(f"WITH {SQL_SECTIONS}, {SQL_ITEMS}, {_GLOBAL}, {_POOL} SELECT query_id, id FROM drawn")
+def hard_negatives_of_50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _negatives_of_50(spark, sf_dir)[1].select("query_id", "id")
+
+
+@query(
+    f"""WITH {SQL_SECTIONS}, {SQL_ITEMS}, {_GLOBAL}, {_POOL}, ok AS (SELECT DISTINCT query_id FROM drawn JOIN asked USING (query_id) JOIN secs ON gold_id = section_id)
+    SELECT query_id, id, label FROM (SELECT query_id, gold_id AS id, 1.0 AS label FROM asked UNION ALL SELECT query_id, id, 0.0 FROM drawn) JOIN ok USING (query_id)"""
+)
+def training_pairs_of_50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(spark, sf_dir, *_negatives_of_50(spark, sf_dir))
 
 
 @query(

@@ -151,6 +151,16 @@ def test_linkage_reads_whole_files(spark):
     assert got == {"date": 1.0, "name": 0.0, "folder": 0.8, "file": 1.0}  # names count in the first 120 lines only
 
 
+def test_negatives_come_from_the_best_fifty(spark, monkeypatch):
+    from quellwerk.plans import items as plans
+
+    asked = spark.createDataFrame([(1, "5")], "query_id int, gold_id string")
+    ranked = spark.createDataFrame([(1, str(i), 100.0 - i, i, i == 5) for i in range(1, 61)], "query_id int, id string, score double, rank int, relevant boolean")
+    monkeypatch.setattr(plans, "_patient_ranking", lambda spark, sf_dir, k=20: (asked, ranked.where(F.col("rank") <= k)))
+    monkeypatch.setattr(items, "hard_negatives", lambda pool, gold, pool_size=50: pool)
+    assert {int(r["id"]) for r in plans.hard_negatives_of_50(spark, "").collect()} == set(range(1, 52)) - {5}
+
+
 def test_engine(spark):
     people = spark.createDataFrame([("P1", "Anna", "Berg", "Anna Berg", "1960-07-03")], "patient_id string, firstname string, lastname string, fullname string, dob string")
     reps = spark.createDataFrame([("r1", "P1", "RAD", "2020-01-01", "Die Milz ist groß")], "report_id string, patient_id string, report_type string, report_date string, content string")
