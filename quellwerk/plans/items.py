@@ -157,11 +157,11 @@ def shared_words(left: pd.Series, right: pd.Series) -> pd.Series:
 
 @query()
 def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two stages: the twenty best by BM25, scored again by a supplied model, five kept."""
-    asked, ranking = _patient_ranking(spark, sf_dir)
+    """Two stages: the hundred best by BM25, scored again by a supplied model, twenty kept."""
+    asked, ranking = _patient_ranking(spark, sf_dir, 100)
     texts = sections(spark, sf_dir, "section_content").select(F.col("section_id").alias("id"), F.col("section_content").alias("d"))
     both = ranking.select("query_id", "id").join(asked.select("query_id", F.col("question").alias("q")), "query_id").join(texts, "id")
-    return items.rerank(both, shared_words, 5)
+    return items.rerank(both, shared_words, 20)
 
 
 def _roster(spark: SparkSession, sf_dir: str) -> DataFrame:

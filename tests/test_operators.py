@@ -161,6 +161,18 @@ def test_negatives_come_from_the_best_fifty(spark, monkeypatch):
     assert {int(r["id"]) for r in plans.hard_negatives_of_50(spark, "").collect()} == set(range(1, 52)) - {5}
 
 
+def test_rerank_lifts_from_the_best_hundred(spark, monkeypatch):
+    from quellwerk.plans import items as plans
+
+    asked = spark.createDataFrame([(1, "milz gross", "99")], "query_id int, question string, gold_id string")
+    ranked = spark.createDataFrame([(1, str(i), i) for i in range(1, 121)], "query_id int, id string, rank int")
+    texts = spark.createDataFrame([(str(i), "milz gross" if i in (99, 110) else "milz") for i in range(1, 121)], "section_id string, section_content string")
+    monkeypatch.setattr(plans, "_patient_ranking", lambda spark, sf_dir, k=20: (asked, ranked.where(F.col("rank") <= k)))
+    monkeypatch.setattr(plans, "sections", lambda spark, sf_dir, *columns: texts)
+    got = [r["id"] for r in plans.rerank_topk(spark, "").orderBy("rank").collect()]
+    assert got[0] == "99" and len(got) == 20 and "110" not in got
+
+
 def test_engine(spark):
     people = spark.createDataFrame([("P1", "Anna", "Berg", "Anna Berg", "1960-07-03")], "patient_id string, firstname string, lastname string, fullname string, dob string")
     reps = spark.createDataFrame([("r1", "P1", "RAD", "2020-01-01", "Die Milz ist groß")], "report_id string, patient_id string, report_type string, report_date string, content string")
