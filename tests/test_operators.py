@@ -173,6 +173,13 @@ def test_rerank_lifts_from_the_best_hundred(spark, monkeypatch):
     assert got[0] == "99" and len(got) == 20 and "110" not in got
 
 
+def test_csv_lines_keep_a_thousand_characters(spark, small):
+    from quellwerk.plans.values import csv_lines_of_1000
+
+    lines = [r["line"] for r in csv_lines_of_1000(spark, small).collect()]
+    assert max(map(len, lines)) > 120 and not any(len(x) == 120 and x.endswith("...") for x in lines)
+
+
 def test_engine(spark):
     people = spark.createDataFrame([("P1", "Anna", "Berg", "Anna Berg", "1960-07-03")], "patient_id string, firstname string, lastname string, fullname string, dob string")
     reps = spark.createDataFrame([("r1", "P1", "RAD", "2020-01-01", "Die Milz ist groß")], "report_id string, patient_id string, report_type string, report_date string, content string")
