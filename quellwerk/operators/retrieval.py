@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quellwerk.functions.names import stemmed
+from quellwerk.functions.names import porter_stem, stemmed
 from quellwerk.functions.text import GRAM_ALPHABET
 from quellwerk.session import cut_lineage
 
@@ -100,24 +101,35 @@ def grams_of(text: str | None, n: int = 3) -> Counter:
     return Counter(flat[i : i + n] for i in range(len(flat) - n + 1)) if len(flat) >= n else Counter([flat] if flat else [])
 
 
-def bm25_blocks(docs: DataFrame, queries: DataFrame, k: int, id_col: str, text_col: str, block: int = 512) -> DataFrame:
+_WORD = re.compile(r"[^\W_]+")
+_stem = lru_cache(1 << 18)(porter_stem)
+
+
+def stems_of(text: str | None) -> Counter:
+    """The counts of stemmed words, as of word_counts with stem, for work inside Arrow batches."""
+    return Counter(map(_stem, _WORD.findall((text or "").lower())))
+
+
+def bm25_blocks(docs: DataFrame, queries: DataFrame, k: int, id_col: str, text_col: str, block: int = 512, terms_of: Callable[[str | None], Counter] = grams_of, floor: bool = False, where: Column | None = None) -> DataFrame:
     """(query_id, id, score, rank): k best of all documents for a stated query set, in blocks of queries.
 
     queries: (query_id, text). No posting is shuffled: a block of queries, of bounded
     size, goes to the executors; one pass over the documents counts how many hold each
     of the block's grams, a second scores every document against the whole block by a
     product of its gram weights with the block's matrix and keeps the k best of each
-    query in a batch. Only those are shuffled.
+    query in a batch. Only those are shuffled. `terms_of` cuts texts into terms;
+    `where` filters what is ranked, not the statistics; floor as in bm25_idf.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    pick = lambda df: df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source, ranked = pick(docs), pick(docs if where is None else docs.where(where))
     id_type = source.schema["id"].dataType.simpleString()
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {id_type}, score double"
     hashed = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // block)))))
     parts = []
     for number in sorted(r["_block"] for r in hashed.select("_block").distinct().collect()):
         asked = hashed.where(F.col("_block") == number).select("query_id", "text").toPandas()
-        grams = [sorted(grams_of(t)) for t in asked["text"]]
+        grams = [sorted(terms_of(t)) for t in asked["text"]]
         place = {g: i for i, g in enumerate(sorted({g for found in grams for g in found}))}
         names = asked["query_id"].to_numpy()
         vocabulary = spark.sparkContext.broadcast(place)
@@ -126,7 +138,7 @@ def bm25_blocks(docs: DataFrame, queries: DataFrame, k: int, id_col: str, text_c
             place, df, docs, length = vocabulary.value, Counter(), 0, 0
             for batch in batches:
                 for text in batch["text"]:
-                    found = grams_of(text)
+                    found = terms_of(text)
                     if found:
                         docs, length = docs + 1, length + found.total()
                         df.update(found.keys() & place.keys())
@@ -140,7 +152,8 @@ def bm25_blocks(docs: DataFrame, queries: DataFrame, k: int, id_col: str, text_c
         matrix = np.zeros((len(place), len(names)))
         for q, found in enumerate(grams):
             at = [place[g] for g in found]
-            matrix[at, q] = np.log((n - df[at] + 0.5) / (df[at] + 0.5) + 1)
+            ratio = (n - df[at] + 0.5) / (df[at] + 0.5)
+            matrix[at, q] = np.maximum(np.log(ratio), 1e-6) if floor else np.log(ratio + 1)
         shared = spark.sparkContext.broadcast((place, names, matrix, counts[-2] / n))
 
         def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -150,14 +163,14 @@ def bm25_blocks(docs: DataFrame, queries: DataFrame, k: int, id_col: str, text_c
                     rows = batch.iloc[low : low + 1024]
                     scores = np.zeros((len(rows), len(names)))
                     for r, text in enumerate(rows["text"]):
-                        found = grams_of(text)
+                        found = terms_of(text)
                         at = [(place[g], tf) for g, tf in found.items() if g in place]
                         if at:
                             where, tf = np.array(at).T
                             scores[r] = (tf * (K1 + 1) / (tf + K1 * (1 - B + B * found.total() / avgdl))) @ matrix[where]
                     yield best_of_batch(names, rows["id"].to_numpy(), np.round(scores.T, 6), k)
 
-        parts.append(source.mapInPandas(score, kinds))
+        parts.append(ranked.mapInPandas(score, kinds))
     return top_k(union_of(parts, spark, kinds), ["query_id"], k)
 
 

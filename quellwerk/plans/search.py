@@ -220,6 +220,15 @@ def word_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.orderBy(F.desc("score"), "id").limit(20)
 
 
+@query()
+def word_search_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stemmed word BM25 of every question of the stated query set, filters as in word_search; twenty best a question."""
+    docs = spread(sections(spark, sf_dir, "section_content", "report_type", "report_date"))
+    terms = F.udf(lambda q: " ".join(fts_terms(q or "")), "string")
+    asked = asked_items(spark, sf_dir).select("query_id", terms("question").alias("text"))
+    return retrieval.bm25_blocks(docs, asked, 20, "section_id", "section_content", terms_of=retrieval.stems_of, floor=True, where=F.expr(_SEC_WHERE))
+
+
 @query(f"WITH {SQL_SECTIONS}, {_SEC_SQL} SELECT patient_id, count(*) AS hits, max(score) AS best FROM found WHERE patient_id IS NOT NULL GROUP BY 1")
 def hits_per_patient(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sections(spark, sf_dir, "patient_id", "section_content", "report_type", "report_date")

@@ -1,4 +1,5 @@
 import json
+import re
 import math
 
 import pytest
@@ -180,6 +181,20 @@ def test_csv_lines_keep_a_thousand_characters(spark, small):
     assert max(map(len, lines)) > 120 and not any(len(x) == 120 and x.endswith("...") for x in lines)
 
 
+def test_word_search_asks_every_question(spark, small):
+    from quellwerk.functions.names import porter_stem
+    from quellwerk.functions.text import fts_terms
+    from quellwerk.plans import search
+
+    got = {(r["query_id"], r["rank"]): (r["id"], round(r["score"], 4)) for r in search.word_search_asked(spark, small).collect()}
+    docs = search.sections(spark, small, "section_content", "report_type", "report_date")
+    asked = search.asked_items(spark, small).select("query_id", "question").collect()
+    terms = {(r["query_id"], porter_stem(w)) for r in asked for t in fts_terms(r["question"] or "") for w in re.findall(r"[^\W_]+", t.lower())}
+    scored = retrieval.bm25(retrieval.word_counts(docs, "section_id", "section_content", stem=True), spark.createDataFrame(list(terms), "query_id bigint, term string"), floor=True)
+    wanted = retrieval.top_k(scored.join(docs.where(search._SEC_WHERE).select(F.col("section_id").alias("id")), "id"), ["query_id"], 20)
+    assert len({q for q, _ in got}) > 1 and got == {(r["query_id"], r["rank"]): (r["id"], round(r["score"], 4)) for r in wanted.collect()}
+
+
 def test_engine(spark):
     people = spark.createDataFrame([("P1", "Anna", "Berg", "Anna Berg", "1960-07-03")], "patient_id string, firstname string, lastname string, fullname string, dob string")
     reps = spark.createDataFrame([("r1", "P1", "RAD", "2020-01-01", "Die Milz ist groß")], "report_id string, patient_id string, report_type string, report_date string, content string")
