@@ -3,8 +3,8 @@
 Blank lines, headings, list entries and, in scripts that write no blanks between
 words, line breaks settle unit ends by layout. Inside the stretches between them a
 semi-Markov dynamic program chooses whole spans between candidate ends; a span is
-scored by its length, its opening word, its closing word with its mark, and whether
-it leaves a quotation or bracket open. A candidate whose gain no span that crosses
+scored by its length, its opening word and its closing word with its mark. Candidates
+inside closed quotations and brackets are left out before. A candidate whose gain no span that crosses
 it could make up for ends the backward search, so a long text costs no more a
 character than a short one.
 
