@@ -2,11 +2,14 @@
 
 Blank lines, headings, list entries and, in scripts that write no blanks between
 words, line breaks settle unit ends by layout. Inside the stretches between them a
-semi-Markov dynamic program chooses whole spans between candidate ends; a span is
-scored by its length, its opening word and its closing word with its mark. Candidates
-inside closed quotations and brackets are left out before. A candidate whose gain no span that crosses
-it could make up for ends the backward search, so a long text costs no more a
-character than a short one.
+semi-Markov dynamic program chooses whole spans between candidate ends. The score of
+a span joins its opening word (after the mark before it), its closing word and mark,
+its length and content (a short span without a word or of one clipped word is hardly
+a sentence), and its quotations: every quotation or bracket that is open at its start
+or its end counts against it, however long the quotation is. Which straight quotation
+marks belong together is part of the program's state, so that a stray one (an inch
+sign) is found together with the spans. The program is exact and linear in the number
+of candidates, as only short and long spans depend on where they began.
 
 Defined cases: null and blank texts have no unit; a text without any end mark is one
 unit a paragraph; the stated language is not used; texts of any length are read
@@ -16,8 +19,9 @@ whole; repeated ids give the units of each of their rows.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +36,10 @@ SOLID = re.compile(f"[^{WS}]")
 BLANKS = re.compile(f"[{WS}]+")
 MARK = re.compile("[.!?…]+|[。！？｡．؟।॥]+")
 FULL_MARKS = "。！？｡؟।॥"
+STRAIGHT = re.compile('"')
+CLOSE_RUN = re.compile("(?:[\"'”“’»«)\\]）」』》]|[ \xa0\u2009\u202f]»)+")
 PAIRS = re.compile("[\"„“”«»()\\[\\]（）「」『』《》]")
 CLOSES = {")": "(", "]": "[", "）": "（", "」": "「", "』": "『", "》": "《", "”": "“„"}
-LONGEST_PAIR = 800
 DENSE = "฀-๿぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ"
 DENSE_CHAR = re.compile(f"[{DENSE}]")
 THAI = re.compile("[฀-๿]")
@@ -43,6 +48,9 @@ NEXT_WORD = re.compile(r"\W*(\w[\w\-]*)")
 TAIL = re.compile(r"[A-Za-z0-9.\-]*$")
 BULLET = re.compile(rf"(?:[-*•–—‣▪◦·●○■□✓+o]|\(?[a-z]\)|\(?\d{{1,3}}\))[{WS}]+[^{WS}]")
 NUMBERED = re.compile(rf"(\d{{1,3}})\.[{WS}]+[^{WS}]")
+CLIPPED = re.compile(r"[^\W\d_]{1,3}\.$")
+WORD = re.compile(r"\w+")
+COUNTED = re.compile(rf"\d+(?:[.,]\d+)*[{WS}]+(\w)")
 ROMAN = re.compile(r"[IVX]+$")
 NUMBER = re.compile(r"\d+$")
 DATE = re.compile(r"\d{1,2}\.\d{1,2}\.(?:\d{2}|\d{4})$|\d{4}[-/]\d\d[-/]\d\d$")
@@ -59,88 +67,98 @@ ORDINAL_NOUNS = frozenset(
     """januar februar märz april mai juni juli august september oktober november dezember jänner tag tage tages zyklus zyklen lebensjahr lebensjahres lebensmonat lebenswoche og ug etage stock jahrhundert
     quartal postoperativen schwangerschaftswoche ssw trimenon""".split()
 )
+#: Ends of compound nouns that are clipped like the word alone: Auftragsnr., Lindenstr.
+CLIPPED_ENDS = ("nr", "str")
 ORDINAL_HEADS = frozenset("am im vom zum dem der den des das die beim ins ans jeder jedem jeden bis seit ab ein einer einem".split())
 
-SURE = 5.5
+#: Cost of each quotation or bracket that is open at one end of a span, and of a straight quotation mark left without its partner.
+OPEN_COST, STRAY_COST = 4.5, 6.0
+#: A span of at most SHORT characters is scored by its content; one of more than LONG is less likely a single sentence.
+SHORT, LONG = 12, 600
+#: A cut of at least this gain always pays, as two spans become at most so much worse by being cut.
+SURE = 6.0
+#: A cut below this gain can never pay, as two spans become at most so much better by being cut.
+LEAST_GAIN = -3.5
 
 
 def pairs_of(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """Outermost (open, close) offsets of quotations and brackets that are closed within [start, end)."""
+    """(open, close) offsets of quotations and brackets of two forms that are closed within [start, end)."""
     stack: list[tuple[str, int]] = []
     found = []
     for m in PAIRS.finditer(text, start, end):
         c, i = m.group(), m.start()
-        wanted = CLOSES.get(c)
         if c == '"':
-            wanted = '"'
-        elif c == "“":
+            continue
+        wanted = CLOSES.get(c)
+        if c == "“":
             wanted = "„"
         elif c in "«»":
             wanted = "»" if c == "«" else "«"
         k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in wanted), -1) if wanted else -1
-        if k >= 0 and i - stack[k][1] <= LONGEST_PAIR:
+        if k >= 0:
             found.append((stack[k][1], i))
             del stack[k:]
         elif c not in ")]）」』》”":
-            if k >= 0:
-                del stack[k:]
             stack.append((c, i))
-    if not found:
-        return found
-    found.sort()
-    outer = [found[0]]
-    for o, c in found[1:]:
-        if o > outer[-1][1]:
-            outer.append((o, c))
-    return outer
+    return found
 
 
-def word_before(text: str, low: int, end: int) -> str:
-    part = text[low:end]
-    return part.rsplit(None, 1)[-1] if part and not part[-1].isspace() else ""
+def words_before(text: str, start: int, mark: int) -> tuple[str, str]:
+    """The word that ends at `mark` and the one before it; of a word of over 64 characters only the end, which no rule tells apart from the whole."""
+    if mark <= start or text[mark - 1] in WS_SET:
+        return "", ""
+    size = 64
+    while True:
+        low = max(start, mark - size)
+        parts = text[low:mark].rsplit(None, 2)
+        if low == start or len(parts) > 1 or len(parts[-1]) >= 64:
+            return parts[-1][-64:], parts[-2] if len(parts) > 1 else ""
+        size *= 2
 
 
 def closing_score(text: str, start: int, mark: int, end: int) -> float:
-    """How well the word and mark at text[mark:end] close a sentence, by themselves."""
+    """How well the word and mark at text[mark:end] close a sentence."""
     marks = text[mark:end]
     if marks[0] in FULL_MARKS or "!" in marks or "?" in marks:
         return 3.0
     if "…" in marks or ".." in marks:
         return 1.5
-    low = max(start, mark - 40)
-    word = word_before(text, low, mark).lstrip("(„\"«[“‚'")
-    if DENSE_CHAR.search(word):
-        word = TAIL.search(word).group() or word[-1]
+    word, previous = words_before(text, start, mark)
+    word = word.lstrip("(„\"«[“‚'")
+    if not word.isascii() and DENSE_CHAR.search(word):
+        word, previous = TAIL.search(word).group() or word[-1], ""
     if not word:
         return 1.0
+    noun = ""
+    if len(word) <= 2:
+        following = NEXT_WORD.match(text, end)
+        noun = following.group(1) if following else ""
+    return closing_word(word, previous if len(word) <= 4 else "", noun)
+
+
+@lru_cache(1 << 16)
+def closing_word(word: str, previous: str, noun: str) -> float:
+    """Score of a word before a full stop; the word before it and the one after it tell only about short words."""
     if word[-1] in ")]）\"”“»%°":
         return 3.0
     lower = word.lower()
-    before = text[low : mark - len(word)].rstrip()
-    previous = before.rsplit(None, 1)[-1] if before else ""
     after_number = bool(previous) and (previous[-1].isdigit() or bool(ROMAN.match(previous)))
     if NUMBER.match(word):
         if len(word) > 2:
             return 3.0
-        following = NEXT_WORD.match(text, end)
-        noun = following.group(1).lower() if following else ""
-        if noun in ORDINAL_NOUNS or previous.lower() in ORDINAL_HEADS:
+        if noun.lower() in ORDINAL_NOUNS or previous.lower() in ORDINAL_HEADS:
             return -6.0
         return 1.5 if previous else -2.0
     if DATE.match(word):
         return 3.0
     if len(word) == 1:
-        if not word.isalpha():
-            return 2.0
-        if after_number:
+        if not word.isalpha() or after_number:
             return 2.0
         joined = previous.lower() + lower
         if previous.endswith(".") and joined in ("p.o", "s.c", "i.m", "s.l", "s.o", "s.u", "o.b", "u.a", "i.v", "b.w", "a.m", "p.m", "q.d"):
-            following = NEXT_WORD.match(text, end)
-            noun = following.group(1) if following else ""
             return 1.5 if joined != "i.v" or noun not in ("Gabe", "Injektion", "Kontrastmittel", "Kontrastmittelgabe") else -6.0
         return -6.0
-    if lower in INNER and not (after_number and lower in ("см", "m", "s", "v", "min", "no", "d")):
+    if (lower in INNER or lower.endswith(CLIPPED_ENDS)) and not (after_number and lower in ("см", "m", "s", "v", "min", "no", "d")):
         return -6.0
     if DOTTED.match(lower):
         return 1.0
@@ -174,15 +192,15 @@ def opening_score(text: str, end: int, stop: int, marks: str, spaced: bool) -> f
     if c.isdigit():
         if not spaced:
             return -8.0
-        m = re.compile(rf"\d+(?:[.,]\d+)*[{WS}]+(\w)").match(text, i, stop)
+        m = COUNTED.match(text, i, stop)
         return 2.0 if m and m.group(1).isalpha() and (m.group(1).isupper() or "!" in marks or "?" in marks) else -2.5
     if c.islower():
-        word = re.compile(r"\w+").match(text, i, stop).group()
+        word = WORD.match(text, i, stop).group()
         return 0.0 if spaced and re.search(r"[A-Z\d]", word) and "." in marks and len(marks) == 1 else (-8.0 if not opener else -3.0)
     if c.isupper() or c.istitle():
         if spaced:
             return 3.0
-        word = re.compile(r"\w+").match(text, i, stop).group()
+        word = WORD.match(text, i, stop).group()
         return 1.5 if len(word) > 1 or opener else -2.0
     if DENSE_CHAR.match(c):
         return 2.0 if "!" in marks or "?" in marks or spaced else -6.0
@@ -190,9 +208,12 @@ def opening_score(text: str, end: int, stop: int, marks: str, spaced: bool) -> f
 
 
 def candidates(text: str, start: int, stop: int) -> list[tuple[int, float]]:
-    """(end offset, gain of a cut there) of a stretch, without its own end."""
-    outer = pairs_of(text, start, stop)
-    opens = [o for o, _ in outer]
+    """(end offset, gain) of a stretch, without its own end: how well what stands before a mark closes and what follows opens a sentence.
+
+    Marks inside quotations are candidates like others. Closing marks right after an
+    end mark belong to it; a straight quotation mark there may close or open one, so
+    that both ends are offered.
+    """
     found = []
     reached = start
     for m in MARK.finditer(text, start, stop):
@@ -200,41 +221,37 @@ def candidates(text: str, start: int, stop: int) -> list[tuple[int, float]]:
         if mark < reached:
             continue
         marks = m.group()
-        if end < stop and marks == ".":
-            c = text[end]
-            if c.isdigit() or (c.islower() and c.isascii()):
-                continue
-        inside = False
-        quoted = False
-        k = bisect_left(opens, mark) - 1
-        if k >= 0 and outer[k][1] > mark:
-            close = outer[k][1]
-            gap = text[end:close]
-            if gap.strip("\"'”“»’)]" + " \xa0  ") == "":
-                end, quoted = close + 1, True
-            else:
-                inside = True
-        if end >= stop:
-            break
-        if inside:
-            continue
-        spaced = text[end] in WS_SET
-        i = end
-        while i < stop and text[i] in WS_SET:
-            i += 1
-        if i >= stop:
-            break
-        if quoted and text[i].isalpha() and not (text[i].isupper() or text[i].islower()):
-            continue  # without case, words after a quotation belong to its sentence
-        if quoted and text[i] in "，、,；;：:—–-。":
+        c = text[end] if end < stop else ""
+        if marks == "." and (c.isdigit() or (c.islower() and c.isascii())):
             continue
-        gain = closing_score(text, start, mark, m.end()) + opening_score(text, i, stop, marks, spaced)
-        if not spaced and not quoted and marks == "." and gain > 0:
-            word = word_before(text, max(start, mark - 30), mark)
-            if len(word) < 2 or not (word[-1].islower() or word[-1].isdigit() or word[-1] in ")%"):
-                gain = -4.0
-        reached = end
-        found.append((end, gain))
+        closed = CLOSE_RUN.match(text, end, stop)
+        ends = [end]
+        if closed:
+            last = closed.end()
+            ends = [end, last] if c in '"“«' and last < stop and text[last] not in WS_SET else [last]
+        closing = None
+        for end in ends:
+            if end >= stop:
+                break
+            quoted = end > m.end()
+            spaced = text[end] in WS_SET
+            i = end
+            while i < stop and text[i] in WS_SET:
+                i += 1
+            if i >= stop:
+                break
+            if quoted and ((text[i].isalpha() and not (text[i].isupper() or text[i].islower())) or text[i] in "，、,；;：:—–-。"):
+                continue  # without case, words after a quotation belong to its sentence
+            if closing is None:
+                closing = closing_score(text, start, mark, m.end())
+            gain = closing + opening_score(text, i, stop, marks, spaced)
+            if not spaced and not quoted and marks == "." and gain > 0:
+                word = words_before(text, start, mark)[0]
+                if len(word) < 2 or not (word[-1].islower() or word[-1].isdigit() or word[-1] in ")%"):
+                    gain = -4.0
+            reached = end
+            if gain >= LEAST_GAIN:
+                found.append((end, gain))
     if THAI.search(text, start, stop):
         for m in BLANKS.finditer(text, start, stop):
             a, b = m.span()
@@ -249,40 +266,119 @@ def candidates(text: str, start: int, stop: int) -> list[tuple[int, float]]:
     return found
 
 
+def span_score(text: str, start: int, end: int) -> float:
+    """What a span's length and content say, opening and closing word apart; never above 0 and never under -3."""
+    size = end - start
+    if size > LONG:
+        return -1.0
+    if size > SHORT:
+        return 0.0
+    part = text[start:end].strip()
+    if not LETTER.search(part):
+        return -3.0  # figures and marks alone
+    return -1.5 if CLIPPED.match(part) else -0.5 if size < 6 else 0.0
+
+
+def open_levels(text: str, start: int, stop: int, ends: list[int]) -> tuple[list[int], list[int]]:
+    """At each end: closed quotations and brackets that it stands in, and straight quotation marks before it."""
+    events = sorted(x for o, c in pairs_of(text, start, stop) for x in ((o, 1), (c, -1)))
+    straight = [m.start() for m in STRAIGHT.finditer(text, start, stop)] if '"' in text[start:stop] else []
+    depth, k, s, levels, counts = 0, 0, 0, [], []
+    for end in ends:
+        while k < len(events) and events[k][0] < end:
+            depth += events[k][1]
+            k += 1
+        while s < len(straight) and straight[s] < end:
+            s += 1
+        levels.append(depth)
+        counts.append(s)
+    return levels, counts
+
+
 def spans(text: str, start: int, stop: int) -> list[tuple[int, int]]:
-    """Best sequence of spans that cover the stretch: dynamic programming over candidate ends."""
-    found = [x for x in candidates(text, start, stop) if x[1] > -4.0]
+    """Best sequence of spans that cover the stretch.
+
+    An end outside quotations whose gain no span across it could make up for is always
+    cut at, so that the program runs between such ends; the result is the same.
+    """
+    found = candidates(text, start, stop)
     if not found:
         return [(start, stop)]
     ends = [start, *(e for e, _ in found), stop]
     gains = [0.0, *(g for _, g in found), 0.0]
-    best, came = [0.0] * len(ends), [0] * len(ends)
-    for j in range(1, len(ends)):
-        top, at = -1e9, 0
-        for i in range(j - 1, -1, -1):
-            score = best[i] + length_score(ends[j] - ends[i])
-            if score > top:
-                top, at = score, i
-            if gains[i] >= SURE:
-                break
-        best[j], came[j] = top + gains[j], at
-    cuts, j = [], len(ends) - 1
+    last = len(ends) - 1
+    levels, counts = open_levels(text, start, stop, ends) if PAIRS.search(text, start, stop) else (None, None)
+    even = counts is None or counts[last] % 2 == 0
+    cuts, low = [], 0
+    for j in range(1, last + 1):
+        if j == last or (gains[j] >= SURE and (counts is None or (not levels[j] and (counts[j] % 2 == 0 if even else counts[j] == 0)))):
+            if j == low + 1:
+                cuts.append((ends[low], ends[j]))
+            else:
+                own = slice(low, j + 1)
+                size = j + 1 - low
+                cuts += best_spans(text, ends[own], gains[own], levels[own] if levels else [0] * size, counts[own] if counts else [0] * size)
+            low = j
+    return cuts
+
+
+def best_spans(text: str, ends: list[int], gains: list[float], levels: list[int], counts: list[int]) -> list[tuple[int, int]]:
+    """The semi-Markov program from the first of the ends to the last.
+
+    A layer of the program is the number (0 or 1) of straight quotation marks given up
+    as stray so far; with it their parity tells whether one is open at an end.
+    """
+    last = len(ends) - 1
+    layers = (0, 1) if counts[last] % 2 else (0,)
+    best = [[-1e9] * (last + 1) for _ in layers]
+    came = [[(0, 0)] * (last + 1) for _ in layers]
+    best[0][0] = 0.0
+    for layer in layers:
+        score = best[layer]
+        window: deque[int] = deque()  # starts of spans of middle length, best first
+        middle, far, far_at = 0, -1e9, 0  # next start to enter the window; best start of a long span
+        for j in range(1, last + 1):
+            end = ends[j]
+            top, at = -1e9, 0
+            while end - ends[middle] > SHORT:
+                while window and score[window[-1]] <= score[middle]:
+                    window.pop()
+                window.append(middle)
+                middle += 1
+            while window and end - ends[window[0]] > LONG:
+                i = window.popleft()
+                if score[i] > far:
+                    far, far_at = score[i], i
+            if window:
+                top, at = score[window[0]], window[0]
+            if far - 1.0 > top:
+                top, at = far - 1.0, far_at
+            for i in range(middle, j):
+                value = score[i] + span_score(text, ends[i], end)
+                if value > top:
+                    top, at = value, i
+            inner = j < last
+            opened = (counts[j] + layer) % 2
+            value = top + gains[j] - 2 * OPEN_COST * levels[j] * inner
+            kept = value - (2 * OPEN_COST if inner else STRAY_COST) * opened
+            if kept > score[j]:
+                score[j], came[layer][j] = kept, (layer, at)
+            if layer == 0 and len(layers) > 1 and opened:
+                best[1][j], came[1][j] = value - STRAY_COST, (0, at)
+    layer = max(layers, key=lambda n: best[n][last])
+    cuts, j = [], last
     while j:
-        cuts.append((ends[came[j]], ends[j]))
-        j = came[j]
+        before, i = came[layer][j]
+        cuts.append((ends[i], ends[j]))
+        layer, j = before, i
     return cuts[::-1]
 
 
-def length_score(size: int) -> float:
-    return -0.5 if size < 6 else 0.0 if size < 400 else -0.3
-
-
-def is_heading(line: str, fresh: bool) -> bool:
-    """A short line that ends with a colon, at the start of a stretch or after a finished line."""
-    if line[-1] not in ":：" or len(line) > 80:
+def is_heading(line: str, done: bool) -> bool:
+    """A line that ends with a colon and holds no end mark, where nothing is unfinished before it; elsewhere only a single word without figures."""
+    if line[-1] not in ":：" or MARK.search(line, 0, len(line) - 1):
         return False
-    words = line.split()
-    return len(words) <= (6 if fresh else 3) and not MARK.search(line[:-1]) and (fresh or not any(c.isdigit() for c in line))
+    return done or not any(c.isdigit() or c in WS_SET for c in line)
 
 
 def dense(line: str) -> bool:
@@ -317,7 +413,7 @@ def stretches(text: str) -> Iterator[tuple[int, int, bool]]:
         if numbered and (fresh or (number >= 0 and int(numbered.group(1)) == number + 1)):
             entry = True
         is_dense = dense(line)
-        if entry or is_heading(line, fresh):
+        if entry or is_heading(line, done):
             if open_at >= 0:
                 yield open_at, open_end, False
             yield a, b, True

@@ -200,6 +200,9 @@ def test_personal_places(text, found):
         ("ให้ยา 5 มก. วันละครั้ง ผู้ป่วยดีขึ้น", ["ให้ยา 5 มก. วันละครั้ง", "ผู้ป่วยดีขึ้น"]),
         ("बुखार था। डॉ. मेहरन आए। क्या?", ["बुखार था।", "डॉ. मेहरन आए।", "क्या?"]),
         ("Gicht Typ 2. Serie 3 nach i. v. Gabe. Bis einschl. 20. November 2022.", ["Gicht Typ 2.", "Serie 3 nach i. v. Gabe.", "Bis einschl. 20. November 2022."]),
+        ('Er kam."Neu hier." Weiter.', ["Er kam.", '"Neu hier."', "Weiter."]),
+        ('Rohr 5" lang. Dann Ende. Und so weiter.', ['Rohr 5" lang.', "Dann Ende.", "Und so weiter."]),
+        ("Verzögerung 5 s, Auftragsnr. 2012-6960. Ende.", ["Verzögerung 5 s, Auftragsnr. 2012-6960.", "Ende."]),
         ("Dr. A. Roth saw it, e.g. at 5 p.m. today. Next!", ["Dr. A. Roth saw it, e.g. at 5 p.m. today.", "Next!"]),
     ],
 )
@@ -217,13 +220,53 @@ def test_units_cover_all_but_blanks(text):
     assert not text[at:].strip()
 
 
-def test_best_spans_by_brute_force():
-    text = "Am 3. Mai kam A. Roth. „Ja. Gut.“ sagte er. Ca. 5 mm bzw. mehr. Nein! doch. Typ 2. Z. n. Gicht usw. Ende."
-    found = [x for x in sentences.candidates(text, 0, len(text)) if x[1] > -4]
-    value = lambda cuts: sum(g for e, g in found if e in cuts) + sum(sentences.length_score(b - a) for a, b in itertools.pairwise([0, *sorted(cuts), len(text)]))
-    best = max(value(c) for r in range(len(found) + 1) for c in itertools.combinations([e for e, _ in found], r))
+QUOTING = [
+    "Am 3. Mai kam A. Roth. „Ja. Gut.“ sagte er. Ca. 5 mm bzw. mehr. Nein! doch. Typ 2. Z. n. Gicht usw. Ende.",
+    'Er rief: "Nein! Nie." Dann (Abb. 3. Dort.) ging er. Ende.',
+    'Rohr 5" lang. Er sagte: "Ja. Gut so." Dann ging er. Ende.',
+]
+
+
+def total_score(text, chosen, found, gains):
+    """Score of a set of cuts, the best way to give up one straight quotation mark included."""
+    ends = [0, *sorted(chosen), len(text)]
+    levels, counts = sentences.open_levels(text, 0, len(text), ends)
+    fixed = sum(gains[e] for e in chosen) + sum(sentences.span_score(text, a, b) for a, b in itertools.pairwise(ends)) - sum(2 * sentences.OPEN_COST * n for n in levels[1:-1])
+    values = []
+    for given_up in [None, *(i for i in range(1, len(ends)) if counts[i] % 2)] if counts[-1] % 2 else [None]:
+        cost = 0.0
+        for i in range(1, len(ends)):
+            after = given_up is not None and i > given_up
+            if i == given_up:
+                cost += sentences.STRAY_COST
+            elif (counts[i] + after) % 2:
+                cost += 2 * sentences.OPEN_COST if i < len(ends) - 1 else sentences.STRAY_COST
+        values.append(fixed - cost)
+    return max(values)
+
+
+@pytest.mark.parametrize("text", QUOTING)
+def test_best_spans_by_brute_force(text):
+    found = sentences.candidates(text, 0, len(text))
+    gains = dict(found)
+    best = max(total_score(text, c, found, gains) for r in range(len(found) + 1) for c in itertools.combinations([e for e, _ in found], r))
     chosen = [b for _, b in sentences.spans(text, 0, len(text))][:-1]
-    assert abs(value(chosen) - best) < 1e-9
+    assert abs(total_score(text, chosen, found, gains) - best) < 1e-9
+
+
+@pytest.mark.parametrize("text", QUOTING)
+def test_whole_spans_decide_more_than_single_gains(text):
+    by_gain = {e for e, g in sentences.candidates(text, 0, len(text)) if g > 0}
+    assert {b for _, b in sentences.spans(text, 0, len(text))} - {len(text)} != by_gain
+
+
+def test_quotations_and_headings_of_any_length():
+    text = "Er sagte: „" + "Das ist so. " * 100 + "“ und ging. Danach Ruhe."
+    assert len(sentences.sentence_units(text)) == 2
+    head = "Die lange Überschrift mit weit mehr als sechs Wörtern und mehr als achtzig Zeichen zum Befund von gestern:"
+    assert sentences.sentence_units(head + "\nText hier. Zwei.")[0] == (0, len(head))
+    spaced = "Termin am 3." + " " * 100 + "Mai 2010. Ende."  # the word before a mark is looked for over any distance
+    assert len(sentences.sentence_units(spaced)) == 2
 
 
 def test_minhash_estimates_similarity():
