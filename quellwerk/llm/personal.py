@@ -1,24 +1,34 @@
 """Personal information in free text: finding and typed placeholders.
 
-A skip-chain conditional random field over candidate places. An automaton over
-signal words and a few anchored patterns propose places with a unary potential from
-their form and their context. A chain edge joins places that stand side by side, a
-skip edge joins distant places that share a number, an address or a surname, so a
-bare surname far from any title is settled together with its other mentions. Loopy
-sum-product message passing gives each place's probability; places above one half
-are found. Texts, and places in them, that no signal and no similar place supports
-have no candidate, because with their negative potential they could only end as
-ordinary text.
-
-Defined cases: null and blank texts have no place; overlapping places are settled in
-the order e-mail, address, number, name; the same place is reported once however
-often a row is delivered; texts are read whole.
+A skip-chain conditional random field over tokens. An automaton over signal words and
+anchored patterns propose stretches of text for a type; a proposal gives its tokens a
+potential for that type from its form and its context. Every word that equals a name
+found so far, or resembles it (genitive, case, a part of a double name, one edit), is
+proposed as well, with a potential below zero. Chain edges join neighbouring tokens of
+a proposal, skip edges join distant tokens with the same number, street or surname,
+the weaker the less they resemble each other, and loopy sum-product message passing
+gives the probability of each type for each token. A proposal is found if its type
+has more than half of the probability over its tokens; of overlapping proposals the
+likeliest is taken.
+
+Tokens that no proposal covers have no node: with their negative potential and no
+edge they could only end as ordinary text. Proposals that meet no contrary evidence
+(no other type, no edge to one of the other sign) are decided by their own sign, which
+is what message passing would give.
+
+Potentials are set by hand, as there are no labelled places to fit them to.
+
+Defined cases: null and blank texts have no place; overlapping proposals that are
+equally likely are settled by the longest, then in the order e-mail, address, number,
+name; the same place is reported once however often a row is delivered; texts are
+read whole, and no context is limited by a number of characters.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -72,7 +82,6 @@ TOWN_AFTER = re.compile(rf",?(?:{H}+|{H}*\r?\n{H}*){CODE_TOWN}")
 TOWN_BEFORE = re.compile(rf"(?<![\w-])({CODE_TOWN}),?(?:{H}+|{H}*\r?\n{H}*)$")
 ADDRESS_SIGNS = re.compile(rf"(?:wohnhaft|wohnt|Anschrift|Adresse|Haus|lautet{H}+jetzt|Wohnort|Straße)[:\s]*(?:in\s+)?$")
 
-LOCAL_PART = re.compile(rf"[\w.+%-]*[\w+%]({H}?)$")
 AFTER_AT = re.compile(rf"(?:@|[(\[{{]{H}?(?:at|AT|ät|Ät|@){H}?[)\]}}]){H}?[\w-]+(?:(?:\.|{H}?[(\[{{](?:dot|DOT|punkt|Punkt)[)\]}}]{H}?)[\w-]+)*(?:\.|{H}?[(\[{{](?:dot|DOT|punkt|Punkt)[)\]}}]{H}?)[^\W\d_]{{2,}}(?![\w-])")
 
 PHONE = re.compile(
@@ -110,8 +119,25 @@ NAME_SIGNS: dict[str, tuple[re.Pattern, float]] = {
     "**": (_NONE, 2.0),
 }
 SPEAKER = re.compile(rf"(?:^|[.!?:;“\"]\s+|[\n\r]\s*(?:[-*•]|\d+\.)?\s*|[-•]\s+)((?:{PARTICLE}{H}+)?{CAP}){H}+$")
-SPEAKS = re.compile(rf"gibt{H}+[^.\n]{{2,80}}?{H}an\b|klagt{H}+über|berichtet{H}+über|verneint{H}+")
+SPEAKS = re.compile(rf"klagt{H}+über|berichtet{H}+über|verneint{H}+")
+STATES = re.compile(rf"gibt{H}+[^.\n]")
+STATED = re.compile(rf"[.\n]|{H}an\b")
 CLOSED_BOLD = re.compile(r"\s*\*\*")
+# Frequent given names; with a surname after them they need no signal word.
+GIVEN_NAMES = """Alexander Andreas Angela Anja Anna Anton Barbara Bernd Birgit Brigitte Christian Christine Claudia Daniel Dieter Elisabeth Emma Erika Eva Felix Franziska Friedrich Gabriele Georg Gerhard Gisela Günter Hannah Hans Heike Heinrich Heinz Helga Helmut Horst Ingrid Jan Johann Johanna Johannes Josef
+    Julia Jürgen Karin Karl Katharina Katrin Klaus Laura Lena Leon Lukas Manfred Maria Marie Markus Martin Martina Matthias Max Michael Monika Nicole Nina Paul Peter Petra Rainer Renate Sabine Sandra Sarah Simone Sophie Stefan Stefanie Susanne Thomas Tim Tobias Ursula Ute Uwe Werner Wolfgang
+    John Mary James Robert Linda William Susan David Jean Pierre José Juan Carmen Luis Mehmet Ali Fatma Ayşe Ahmed Mohammed Ivan Olga""".split()
+FULL_NAME = re.compile(rf"{CAP}{H}+(?:{INITIAL}{H}*|{CAP}{H}+(?={CAP}{H}))?(?:{PARTICLE}{H}+)?{CAP}(?![-\w])")
+# What persons do, after a name.
+ACTS = re.compile(
+    r"\s+(?:gibt|gab|klagt|klagte|berichtet|berichtete|verneint|verneinte|kam|kommt|erschien|lehnt|lehnte|wünscht|wünschte|bittet|bat|leidet|litt|sagt|sagte|stellt\s+sich|stellte\s+sich|(?:wurde|wird|ist)\s+(?:\w+\s+){0,3}?(?:entlassen|aufgenommen|verlegt|vorgestellt|einbestellt|aufgeklärt|informiert))\b"
+)
+IS = re.compile(r"\s+(?:wurde|wird|ist|hat|war|hatte)\b")
+PLACED = re.compile(r"\s+(?:im|am|in|an|mit|bei|des|der|von)\b|\s+\d|-|\s+und\s+\w+-")
+NOT_A_PERSON = re.compile(r"(?:\b(?:[IiAa]m|[Ii]n|[Dd](?:er|ie|as|em|en|es)|Morbus|M\.|[Ee]in(?:e[mnrs]?)?))\s+$")
+INITIAL_BEFORE = re.compile(rf"{INITIAL}{H}*")
+OUTER = ".,;:!?()[]{}<>\"'„“”‚‘»«*_/|…"
+SOLID = re.compile(r"\S+")
 
 _state: dict = {}
 
@@ -128,6 +154,8 @@ def automaton() -> ahocorasick.Automaton:
         for kind, listed in (("speaker", ["gibt", "klagt", "berichtet", "verneint"]), ("street", STREET_ENDS), ("id", ID_LABELS), ("at", ["@", "(at", "[at", "{at", "(AT", "[AT", "( at", "[ at"])):
             for word in listed:
                 words.setdefault(word, set()).add(kind)
+        for word in GIVEN_NAMES:
+            words.setdefault(word, set()).add("given")
         for word in "Am Im Zum Zur Hinter Unter Vor Auf An Bei In Platz".split():
             words.setdefault(word, set()).add("named")
         built = ahocorasick.Automaton()
@@ -139,23 +167,35 @@ def automaton() -> ahocorasick.Automaton:
 
 
 class Place:
-    __slots__ = ("start", "end", "kind", "score", "keys")
+    """A proposal: a stretch for a type with its potential, the keys it shares with others and how much it resembles them."""
+
+    __slots__ = ("start", "end", "kind", "score", "keys", "alike")
+
+    def __init__(self, start: int, end: int, kind: str, score: float, keys: frozenset = frozenset(), alike: float = 1.0):
+        self.start, self.end, self.kind, self.score, self.keys, self.alike = start, end, kind, score, keys, alike
 
-    def __init__(self, start: int, end: int, kind: str, score: float, keys: frozenset = frozenset()):
-        self.start, self.end, self.kind, self.score, self.keys = start, end, kind, score, keys
+
+def back(text: str, at: int, words: int, low: int = 0) -> int:
+    """Where the last `words` words before `at` begin."""
+    for _ in range(words):
+        while at > low and text[at - 1].isspace():
+            at -= 1
+        while at > low and not text[at - 1].isspace():
+            at -= 1
+    return at
 
 
 def find_email(text: str, at: int) -> Place | None:
     m = AFTER_AT.match(text, at)
     if not m:
         return None
-    before = LOCAL_PART.search(text, max(0, at - 80), at)
-    if not before:
-        return None
-    start = before.start()
-    while start < at and text[start] in ".-%+":
+    end = at - 1 if at and re.match(H, text[at - 1]) else at
+    start = end
+    while start and (text[start - 1].isalnum() or text[start - 1] in "_.+%-"):
+        start -= 1
+    while start < end and text[start] in ".-%+":
         start += 1
-    return Place(start, m.end(), "email", 5.0) if start < at else None
+    return Place(start, m.end(), "email", 8.0) if start < end and text[end - 1] not in ".-%" else None
 
 
 def with_town(text: str, start: int, end: int) -> tuple[int, int, bool]:
@@ -163,7 +203,7 @@ def with_town(text: str, start: int, end: int) -> tuple[int, int, bool]:
     after = TOWN_AFTER.match(text, end)
     if after:
         return start, after.end(), True
-    before = TOWN_BEFORE.search(text, max(0, start - 70), start)
+    before = TOWN_BEFORE.search(text, back(text, start, 9), start)
     return (before.start(1), end, True) if before else (start, end, False)
 
 
@@ -172,8 +212,9 @@ def find_street(text: str, end: int) -> Place | None:
     house = HOUSE_AFTER.match(text, end)
     if not house:
         return None
-    low = max(0, end - 50)
-    name = STREET_WORD.search(text, max(low, text.rfind("\n", low, end) + 1), end)
+    low = back(text, end, 4)
+    low = max(low, text.rfind("\n", low, end) + 1)
+    name = STREET_WORD.search(text, low, end)
     if not name:
         return None
     start = name.start()
@@ -184,10 +225,10 @@ def find_street(text: str, end: int) -> Place | None:
         if start >= end:
             return None
     first, last, town = with_town(text, start, house.end())
-    sign = bool(ADDRESS_SIGNS.search(text, max(0, first - 30), first))
+    sign = bool(ADDRESS_SIGNS.search(text, back(text, first, 3), first))
     if len(house.group(1)) > 3 and house.group(1).isdigit() and not (town or sign):
         return None
-    return Place(first, last, "address", 3.0 + town + sign, frozenset([text[start : house.end()].lower()]))
+    return Place(first, last, "address", 5.5 + town + sign, frozenset([text[start : house.end()].lower()]))
 
 
 def find_named_street(text: str, start: int) -> Place | None:
@@ -195,10 +236,10 @@ def find_named_street(text: str, start: int) -> Place | None:
     if not m or (start and (text[start - 1].isalnum() or text[start - 1] == "-")):
         return None
     first, last, town = with_town(text, start, m.end())
-    sign = bool(ADDRESS_SIGNS.search(text, max(0, first - 30), first))
+    sign = bool(ADDRESS_SIGNS.search(text, back(text, first, 3), first))
     alone = (first == 0 or text[first - 1] in "\n\r") and (last == len(text) or text[last] in "\n\r")
     listed = text[max(0, first - 2) : first] == ", " and text[last : last + 1] in ",.\n\r"
-    return Place(first, last, "address", -2.0 + 4 * town + 4 * sign + 4 * alone + 3.5 * listed, frozenset([m.group().lower()]))
+    return Place(first, last, "address", -2.0 + 7 * town + 7 * sign + 7 * alone + 6.5 * listed, frozenset([m.group().lower()]))
 
 
 def find_phones(text: str, found: list[Place]) -> None:
@@ -206,7 +247,7 @@ def find_phones(text: str, found: list[Place]) -> None:
         digits = sum(c.isdigit() for c in m.group())
         if not 8 <= digits <= 15:
             continue
-        before = text[max(0, m.start() - 24) : m.start()]
+        before = text[back(text, m.start(), 3) : m.start()]
         score = 1.0 + 3 * bool(PHONE_SIGNS.search(before)) - 6 * bool(CODE_SIGNS.search(before))
         found.append(Place(m.start(), m.end(), "phone", score, frozenset(["".join(c for c in m.group() if c.isdigit())])))
 
@@ -249,94 +290,246 @@ def find_name(text: str, start: int, score: float, stop: int) -> Place | None:
     return Place(start, end, "name", score, surname_keys(text[start:end]))
 
 
-def find_speaker(text: str, at: int) -> Place | None:
-    if not SPEAKS.match(text, at):
+def statements(text: str) -> tuple[list[int], list[str]]:
+    """Where sentences end and where the word that closes `gibt ... an` stands."""
+    found = [(m.start(), m.group()[-1]) for m in STATED.finditer(text)]
+    return [at for at, _ in found], [c for _, c in found]
+
+
+def find_speaker(text: str, at: int, marks: tuple[list[int], list[str]]) -> Place | None:
+    states = STATES.match(text, at)
+    if states:
+        k = bisect_left(marks[0], states.end())
+        if k == len(marks[0]) or marks[1][k] != "n":
+            return None
+    elif not SPEAKS.match(text, at):
         return None
-    m = SPEAKER.search(text, max(0, at - 60), at)
+    low = back(text, at, 4)
+    m = SPEAKER.search(text, max(0, low - 1), at)
     if not m or m.group(1) in NO_NAMES:
         return None
     return Place(m.start(1), m.end(1), "name", 2.5, surname_keys(m.group(1)))
 
 
-def bare_score(text: str, start: int, end: int, word: str) -> float:
-    """Unary potential of a surname's mention without a signal."""
-    score = -2.5 if word in COMMON_SURNAMES else -0.5
-    if text[end : end + 1] == "-" or text[start - 1 : start] == "-" or re.compile(rf"{H}+und{H}+{CAP}-").match(text, end):
+def find_given(text: str, at: int) -> Place | None:
+    """A frequent given name at `at` with a surname after it, likelier where a person acts."""
+    if at and (text[at - 1].isalnum() or text[at - 1] in "-.@_"):
+        return None
+    m = FULL_NAME.match(text, at)
+    if not m or any(w in NO_NAMES for w in m.group().split()):
+        return None
+    acts = ACTS.match(text, m.end())
+    return Place(at, m.end(), "name", 2.0 if acts else -0.5, surname_keys(m.group()))
+
+
+def edits(a: str, b: str) -> bool:
+    """One character replaced, inserted or left out."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    k = 0
+    while k < min(len(a), len(b)) and a[k] == b[k]:
+        k += 1
+    return a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :] or a[k + 1 :] == b[k:]
+
+
+def resemblance(word: str, known: str) -> float:
+    """How much a word resembles a surname, both in lower case: 1 equal, 0 not at all."""
+    if word == known:
+        return 1.0
+    if known in COMMON_SURNAMES or len(known) < 3:
+        return 0.0
+    if word in (known + "s", known + "’s", known + "'s", known + "’", known + "'"):
+        return 0.95
+    if "-" in known and len(word) > 3 and word in known.split("-"):
+        return 0.9
+    return 0.75 if len(known) > 4 and len(word) > 4 and "-" not in word and edits(word, known) else 0.0
+
+
+def mention_score(text: str, start: int, end: int, word: str, known: str, alike: float) -> float:
+    """Potential of a word that resembles a known surname and has no signal of its own; below zero unless a person acts."""
+    if text[end : end + 1] == "-" or text[start - 1 : start] == "-":
         return -8.0
-    after, before = text[end : end + 24], text[max(0, start - 12) : start]
-    if re.match(r"\s+(?:gibt|klagt|berichtet|verneint|wurde|wird|ist|hat|lehnt|wünscht)\b", after):
-        score += 1.5
-    if re.match(r"\s+(?:im|am|in|an|mit|bei|des|der|von)\b|\s+\d", after):
+    score = -1.0 if alike > 0.9 else -2.0
+    if known in COMMON_SURNAMES:
+        score -= 2.5
+    if text[start].islower():
+        score -= 0.5 if known not in COMMON_SURNAMES else 4.0
+    if ACTS.match(text, end):
+        score += 3.0
+    elif IS.match(text, end):
+        score += 1.0
+    if PLACED.match(text, end):
         score -= 2.0
-    if re.search(r"(?:\b[IiAa][mn]|\b[Dd](?:er|ie|as|em|en|es)|Morbus|M\.|\b[Ee]in(?:e[mnrs]?)?)\s+$", before):
+    if NOT_A_PERSON.search(text, back(text, start, 1), start):
         score -= 3.0
     return score
 
 
-def bare_mentions(text: str, places: list[Place]) -> list[Place]:
-    """Other mentions of the surnames found so far, outside the places found so far."""
-    taken = sorted((p.start, p.end) for p in places)
+def mentions(text: str, places: list[Place]) -> list[Place]:
+    """Words that resemble the surnames proposed with a signal, wherever they stand, with an initial before them."""
+    known: dict[str, list[str]] = {}
+    given: set[str] = set()
+    named = sorted((p.start, p.end) for p in places if p.kind == "name" and p.score > 0)
+    for p in places:
+        if p.kind == "name" and p.score > 0:
+            given.update(w.strip(OUTER) for w in text[p.start : p.end].lower().split())
+            for key in p.keys:
+                if len(key) > 2:
+                    for part in {key[0], *(x[0] for x in key.split("-") if x)}:
+                        known.setdefault(part, []).append(key)
+    if not known:
+        return []
+    low = text.lower()
+    if len(low) != len(text):  # a letter whose lower case is longer
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    forms: dict[str, tuple[str, float]] = {}
+    for token in set(low.split()):
+        word = token.strip(OUTER)
+        for key in known.get(word[:1], ()):
+            alike = resemblance(word, key)
+            if alike > forms.get(word, ("", 0.0))[1]:
+                forms[word] = key, alike
+    begins, reach = [a for a, _ in named], [0]
+    for _, end in named:
+        reach.append(max(reach[-1], end))
     found = []
-    for key in {k for p in places if p.kind == "name" and p.score >= 2 for k in p.keys if len(k) > 2}:
-        for form in {key.upper(), "-".join(part.capitalize() for part in key.split("-"))}:
-            at = text.find(form)
-            while at >= 0:
-                end = at + len(form)
-                free = not any(a < end and at < b for a, b in taken)
-                if free and not (at and text[at - 1].isalnum()) and not text[end : end + 1].isalnum():
-                    found.append(Place(at, end, "name", bare_score(text, at, end, key), frozenset([key])))
-                at = text.find(form, end)
+    for word, (key, alike) in forms.items():
+        at = low.find(word)
+        while at >= 0:
+            end = at + len(word)
+            signed = reach[bisect_left(begins, at + 1)] >= end  # part of a name with a signal
+            if not signed and not (at and text[at - 1].isalnum()) and not text[end : end + 1].isalnum():
+                score = mention_score(text, at, end, word, key, alike)
+                if score > -6:
+                    start, before = at, back(text, at, 1)
+                    if INITIAL_BEFORE.fullmatch(text, before, at) or (text[before:at].strip().lower() in given and text[before:at].strip().lower() != key):
+                        start, score = before, score + 1.0
+                    found.append(Place(start, end, "name", score, frozenset([key]), alike))
+            at = low.find(word, end)
     return found
 
 
-def settle(places: list[Place]) -> list[Place]:
-    """One place of each overlapping set: by kind, then the longest, then the most likely."""
-    kept: list[Place] = []
-    for p in sorted(places, key=lambda p: (p.score < 0, RANK[p.kind], p.start - p.end, -p.score)):
-        if not any(p.start < q.end and q.start < p.end for q in kept):
-            kept.append(p)
-    return sorted(kept, key=lambda p: p.start)
+# A skip edge between equal tokens lifts a mention by twice its weight at most; less than one signal word.
+SKIP_WEIGHT, CHAIN_WEIGHT, ROUNDS, SETTLED = 0.9, 1.0, 50, 1e-4
 
 
-# A mention has two skip edges at most; together they weigh less than one signal word.
-SKIP_WEIGHT, CHAIN_WEIGHT, ROUNDS = 0.6, 0.3, 8
+def components(places: list[Place]) -> list[list[int]]:
+    """Proposals (sorted by start) that overlap or share a key, over any number of steps."""
+    parent = list(range(len(places)))
 
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
 
-def marginals(places: list[Place], text: str) -> list[float]:
-    """Probability of each place by loopy sum-product over chain and skip edges (binary labels)."""
-    n = len(places)
-    by_key: dict = {}
+    holder, reach, keyed = 0, -1, {}
     for i, p in enumerate(places):
+        if p.start < reach:
+            parent[find(i)] = find(holder)
+        if p.end > reach:
+            holder, reach = i, p.end
+        for key in p.keys:
+            j = keyed.setdefault((p.kind, key), i)
+            parent[find(i)] = find(j)
+    groups: dict[int, list[int]] = {}
+    for i in range(len(places)):
+        groups.setdefault(find(i), []).append(i)
+    return list(groups.values())
+
+
+def marginals(places: list[Place], text: str, skip_weight: float = SKIP_WEIGHT) -> list[float]:
+    """Probability of each proposal's type over its tokens, by loopy sum-product on the token graph. places: sorted by start."""
+    cuts = sorted({x for p in places for x in (p.start, p.end)})
+    tokens: list[tuple[int, int]] = []
+    reach = -1
+    for p in places:
+        for m in SOLID.finditer(text, max(p.start, reach), max(p.end, reach)):
+            a, b = m.span()
+            inner = [a, *cuts[bisect_left(cuts, a + 1) : bisect_left(cuts, b)], b]
+            tokens += zip(inner, inner[1:])
+        reach = max(reach, p.end)
+    starts = [a for a, _ in tokens]
+    covered = [range(bisect_left(starts, p.start), bisect_left(starts, p.end)) for p in places]
+    fields: list[dict[str, float]] = [{"": 1.0} for _ in tokens]
+    edges: dict[tuple[int, int], float] = {}
+    keyed: dict[tuple[str, str], list[tuple[int, float]]] = {}
+    for p, own in zip(places, covered):
+        weight = math.exp(max(-20.0, min(20.0, p.score)))
+        for i in own:
+            fields[i][p.kind] = max(weight, fields[i].get(p.kind, 0.0))
+        for i in own[1:]:
+            edges[i - 1, i] = CHAIN_WEIGHT
         for key in p.keys:
-            by_key.setdefault((p.kind, key), []).append(i)
-    edges = {}
-    for group in by_key.values():
-        for i, j in zip(group, group[1:]):  # each mention and the next of its kind
-            edges[i, j] = SKIP_WEIGHT
-        if len(group) > 2:
-            edges[group[0], group[-1]] = SKIP_WEIGHT
-    for i in range(n - 1):
-        if places[i + 1].start - places[i].end <= 3:
-            edges[i, i + 1] = edges.get((i, i + 1), 0.0) + CHAIN_WEIGHT
-    logits = [p.score for p in places]
-    if not edges or all(abs(x) > 3 for x in logits):
-        return [1 / (1 + math.exp(-x)) for x in logits]
-    message = {pair: 0.0 for e in edges for pair in (e, e[::-1])}
-    incoming: dict[int, list[int]] = {}
-    for i, j in message:
-        incoming.setdefault(j, []).append(i)
+            # the token that holds the surname: the one before the comma of "Last, First", else the last
+            comma = text.find(",", p.start, p.end)
+            at = own[0] if p.kind != "name" else own[-1] if comma < 0 else bisect_left(starts, comma) - 1
+            keyed.setdefault((p.kind, key), []).append((at, p.alike))
+    for group in keyed.values() if skip_weight else ():
+        sure = [x for x in group if x[1] == 1.0] or group
+        for (i, x), (j, y) in [*zip(group, group[1:]), *((s, m) for m in group if m[1] < 1.0 for s in (sure[0], sure[-1])), (group[0], group[-1])]:
+            if i != j:
+                edges[min(i, j), max(i, j)] = max(edges.get((min(i, j), max(i, j)), 0.0), skip_weight * min(x, y))
+    joined: list[list[int]] = [[] for _ in tokens]
+    message: dict[tuple[int, int], dict[str, float]] = {}
+    for i, j in edges:
+        joined[i].append(j)
+        joined[j].append(i)
+        message[i, j] = dict.fromkeys(fields[j], 1.0)
+        message[j, i] = dict.fromkeys(fields[i], 1.0)
+
+    def belief(i: int, without: int = -1) -> dict[str, float]:
+        out = dict(fields[i])
+        for k in joined[i]:
+            if k != without:
+                for label, value in message[k, i].items():
+                    out[label] *= value
+        total = sum(out.values())
+        return {label: value / total for label, value in out.items()}
+
     for _ in range(ROUNDS):
-        fresh = {}
+        change, fresh = 0.0, {}
         for i, j in message:
-            field = logits[i] + sum(message[k, i] for k in incoming[i] if k != j)
-            weight = edges.get((i, j), edges.get((j, i)))
-            fresh[i, j] = 2 * math.atanh(math.tanh(weight) * math.tanh(max(-15.0, min(15.0, field / 2))))
-        message = fresh
-    return [1 / (1 + math.exp(-max(-30.0, min(30.0, x + sum(message[k, i] for k in incoming.get(i, ())))))) for i, x in enumerate(logits)]
-
-
-def personal_places(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, type) of the personal information in a text."""
+            own = belief(i, j)
+            agree = math.exp(2 * edges[min(i, j), max(i, j)]) - 1
+            new = {label: 1.0 + agree * own.get(label, 0.0) for label in fields[j]}
+            total = sum(new.values())
+            new = {label: value / total for label, value in new.items()}
+            change = max(change, *(abs(new[label] - value) for label, value in message[i, j].items()))
+            fresh[i, j] = new
+        message.update(fresh)
+        if change < SETTLED:
+            break
+    beliefs = [belief(i) for i in range(len(tokens))]
+    return [sum(beliefs[i][p.kind] for i in own) / max(1, len(own)) for p, own in zip(places, covered)]
+
+
+def chosen(places: list[Place], text: str, skip_weight: float = SKIP_WEIGHT) -> list[Place]:
+    """The proposals found, without overlaps."""
+    unique: dict[tuple[int, int, str], Place] = {}
+    for p in places:
+        held = unique.get((p.start, p.end, p.kind))
+        if held is None or p.score > held.score:
+            unique[p.start, p.end, p.kind] = p
+    places = sorted(unique.values(), key=lambda p: (p.start, p.end))
+    found: list[Place] = []
+    for group in components(places):
+        own = [places[i] for i in group]
+        if len({p.kind for p in own}) == 1 and (all(p.score > 0 for p in own) or all(p.score <= 0 for p in own)):
+            chances = [1.0 if p.score > 0 else 0.0 for p in own]
+        else:
+            chances = marginals(own, text, skip_weight)
+        ranked = sorted(((c, p) for c, p in zip(chances, own) if c > 0.5), key=lambda x: (-round(x[0], 2), x[1].start - x[1].end, RANK[x[1].kind]))
+        kept: list[Place] = []
+        for _, p in ranked:
+            k = bisect_left(kept, p.start, key=lambda q: q.start)
+            if not (k and kept[k - 1].end > p.start) and not (k < len(kept) and kept[k].start < p.end):
+                kept.insert(k, p)
+        found += kept
+    return sorted(found, key=lambda p: p.start)
+
+
+def proposals(text: str) -> list[Place]:
+    """Stretches with a signal or a form of their own, and the words that resemble the names among them."""
     hits: dict[str, list[tuple[int, str]]] = {}
     plain = text
     for blank in OTHER_BLANKS:
@@ -345,7 +538,7 @@ def personal_places(text: str) -> list[tuple[int, int, str]]:
     for last, (word, kinds) in automaton().iter(plain):
         for kind in kinds:
             hits.setdefault(kind, []).append((last + 1, word))
-    places: list[Place] = []
+    places: list[Place | None] = []
     for end, word in hits.get("at", ()):
         places.append(find_email(text, end - len(word)))
     for end, _ in hits.get("street", ()):
@@ -355,30 +548,35 @@ def personal_places(text: str) -> list[tuple[int, int, str]]:
     for end, word in hits.get("named", ()):
         if text[end : end + 1].isspace():
             places.append(find_named_street(text, end - len(word)))
-    places = [p for p in places if p]
-    blocked = sorted((p.start, p.end) for p in places if p.score > 0)
-    for end, _ in hits.get("id", ()):
-        places.append(find_id(text, end))
-    find_phones(text, places)
+    found = [p for p in places if p]
+    blocked = sorted((p.start, p.end) for p in found if p.score > 0)
+    begins = [a for a, _ in blocked]
+    places = [find_id(text, end) for end, _ in hits.get("id", ())]
+    find_phones(text, found)
     for end, word in hits.get("name", ()):
         if word not in ("**", 'name"') and end > len(word) and text[end - len(word) - 1].isalnum():
             continue
         between, score = NAME_SIGNS[word]
         gap = between.match(text, end)
-        if not gap or any(a < gap.end() < b for a, b in blocked):
+        if not gap:
             continue
-        stop = next((a for a, _ in blocked if a >= gap.end()), len(text))
-        place = find_name(text, gap.end(), score, stop)
+        k = bisect_left(begins, gap.end())
+        if k and blocked[k - 1][1] > gap.end():
+            continue  # inside an address
+        place = find_name(text, gap.end(), score, begins[k] if k < len(begins) else len(text))
         if place and (word != "**" or CLOSED_BOLD.match(text, place.end)):
             places.append(place)
-    for end, word in hits.get("speaker", ()):
-        places.append(find_speaker(text, end - len(word)))
-    places = [p for p in places if p]
-    if not places:
-        return []
-    places = settle(places)
-    places = settle(places + bare_mentions(text, places))
-    return [(p.start, p.end, p.kind) for p, chance in zip(places, marginals(places, text)) if chance > 0.5]
+    if "speaker" in hits:
+        marks = statements(text)
+        places += [find_speaker(text, end - len(word), marks) for end, word in hits["speaker"]]
+    places += [find_given(text, end - len(word)) for end, word in hits.get("given", ())]
+    found += [p for p in places if p]
+    return found + mentions(text, found) if found else found
+
+
+def personal_places(text: str, skip_weight: float = SKIP_WEIGHT) -> list[tuple[int, int, str]]:
+    """(start, end, type) of the personal information in a text."""
+    return [(p.start, p.end, p.kind) for p in chosen(proposals(text), text, skip_weight)]
 
 
 def redacted(text: str) -> str:

@@ -186,6 +186,60 @@ def test_personal_places(text, found):
     assert all(place not in left for place, kind in found if kind in ("email", "phone", "id_number"))
 
 
+# Mentions without a signal word: another's name, its genitive, another case, one edit, an initial, a part.
+UNSIGNALLED = [
+    ("Herr Müller kam. Müllers Befund liegt vor.", "Müllers"),
+    ("Patient: Meier, Hans. Meyer wünscht Rückruf", "Meyer"),
+    ("Herr Wolbrink kam. wolbrink sagte nichts.", "wolbrink"),
+    ("Herr Stein. Stein wurde entlassen.", "Stein"),
+    ("Frau Roth-Sand kam. Sand war da.", "Sand"),
+    ("Frau Zimzow kam. Unklar blieb, ob Zimzow das wusste.", "Zimzow"),
+    ("Herr Thilo Biegnagel kam. Danach sprach ZIMZOW, dann Thilo Biegnagel.", "Thilo Biegnagel"),
+    ("Frau Pölz kam. K. Pölz hat zugestimmt.", "K. Pölz"),
+    ("Für Dr. Uhlritz. Rückfragen an UHLRITZ", "UHLRITZ"),
+]
+
+
+def test_skip_edges_find_mentions_without_a_signal():
+    def recall(skip_weight):
+        return np.mean([any(text[a:b] == name and a > 0 for a, b, _ in personal.personal_places(text, skip_weight) if a >= text.rindex(name)) for text, name in UNSIGNALLED])
+
+    assert recall(personal.SKIP_WEIGHT) == 1.0 and recall(0.0) < 0.5
+
+
+@pytest.mark.parametrize(
+    "text, places",
+    [
+        ("Max Mustermann kam heute in die Ambulanz. Max Mustermann klagte nicht.", 2),
+        ("Herr Zielke. Zielke-Zeichen negativ, Morbus Zielke, der Zielke am Hilus.", 1),
+        ("Mail: " + "a" * 90 + "@haus.example", 1),
+        ("Stein" + " " * 90 + "gibt Husten nach " + "sehr " * 30 + "vielen Metern an.", 1),
+        ("Anschrift:" + " " * 50 + "Am Tor 3", 1),
+        ("Die Max. Länge beträgt 3 mm. Max Länge 4 mm", 0),
+        ("Max Mustermann liegt auf Station 3. Später klagte über Husten auch Max Mustermann.", 0),
+        ("Max Mustermann liegt auf Station 3. Max Mustermann klagte über Husten.", 2),
+    ],
+)
+def test_personal_contexts_of_any_length(text, places):
+    assert len(personal.personal_places(text)) == places
+
+
+def test_message_passing_is_exact_on_trees():
+    text = "aa bb cc dd"
+    P = personal.Place
+    places = [P(0, 5, "name", 1.0, frozenset(["x"])), P(3, 8, "address", 0.5), P(9, 11, "name", -1.0, frozenset(["x"]))]
+    fields = [{"": 1, "name": np.e}, {"": 1, "name": np.e, "address": np.e**0.5}, {"": 1, "address": np.e**0.5}, {"": 1, "name": 1 / np.e}]
+    edges = {(0, 1): personal.CHAIN_WEIGHT, (1, 2): personal.CHAIN_WEIGHT, (1, 3): personal.SKIP_WEIGHT}
+    total, sums = 0.0, [{k: 0.0 for k in f} for f in fields]
+    for labels in itertools.product(*fields):
+        weight = np.prod([f[x] for f, x in zip(fields, labels)]) * np.exp(sum(2 * w for (i, j), w in edges.items() if labels[i] == labels[j]))
+        total += weight
+        for i, x in enumerate(labels):
+            sums[i][x] += weight
+    wanted = [(sums[0]["name"] + sums[1]["name"]) / 2 / total, (sums[1]["address"] + sums[2]["address"]) / 2 / total, sums[3]["name"] / total]
+    assert np.allclose(personal.marginals(places, text), wanted, atol=1e-3)
+
+
 @pytest.mark.parametrize(
     "text, units",
     [
