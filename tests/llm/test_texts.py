@@ -53,8 +53,20 @@ def test_plan_uses_exactly_the_histogram():
             for length, copies in parts:
                 used[length] += times * copies
         assert (used == histogram).all()
-    total = sum(times for times, _ in packing.plan_containers(np.bincount(lengths, minlength=513), 512, 8))
-    assert total <= 1.01 * lengths.sum() / 512 + 1
+
+
+def test_least_squares_fill_most_containers_and_no_more_than_greedy():
+    rng = np.random.default_rng(1)
+    for size, capacity in ((20_000, 512), (400_000, 512), (20_000, 2048)):
+        lengths = np.clip(rng.lognormal(np.log(capacity) - 2, 0.9, size).astype(int), 1, capacity)
+        histogram = np.bincount(lengths, minlength=capacity + 1)
+        _, _, counts, residual = packing.least_squares(histogram, capacity, 0)
+        assert residual < 0.1 and (counts > 0).all()
+        fitted = packing.plan_containers(histogram, capacity)
+        greedy = sum(times for times, _ in packing.plan_containers(histogram, capacity, fit=False))
+        total = sum(times for times, _ in fitted)
+        whole = sum(times for times, parts in fitted if sum(length * copies for length, copies in parts) == capacity and len(parts) <= 4)
+        assert total <= greedy and whole > 0.9 * total
 
 
 def text_of(kinds: str) -> str:
