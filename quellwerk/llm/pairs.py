@@ -1,12 +1,14 @@
 """Defects of question-answer pairs.
 
-Each pair is judged on its two texts alone. The question's suffix automaton is
-walked with the answer to measure how much of the answer it covers and how much of
-the question comes back; an automaton over phrases finds refusals; stopword and
-script votes name the languages; delimiter stacks and word statistics over all
-pairs find answers that break off. The statistics are counts by word (how often
-inside an answer, how often before an end mark), joined back by word, so nothing
-grows on the driver.
+The question's suffix automaton is walked with the answer to measure how much of the
+answer it covers and how much of the question comes back; an automaton over phrases
+finds refusals; stopword and script votes name the languages; delimiter stacks and the
+state of the last clause find answers that break off. Where an answer without an end
+mark shows neither, its last word is judged by all pairs: a word that nobody writes
+but that begins known words is cut off, and a word far likelier inside a text than
+before an end mark leaves its clause open. The likelihood ratio is one of rates, so
+that it settles as the table grows. Counts of words are added up within batches and
+joined back by word; nothing grows on the driver.
 
 Defined cases: a null answer is `empty`; a null or blank question copies nothing
 and has no language; a pair gets the first type that applies in the order of TYPES;
@@ -17,11 +19,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quellwerk.session import cut_lineage, read_table, spread
@@ -56,13 +59,13 @@ DECLINE_SIGNS = "nicht beantwort|unbeantwortet|keine antwort|keine auskunft|kein
 
 # Frequent function words by language; a word of several languages votes for each.
 STOPWORDS = {
-    "de": "der die das den dem des ein eine einer eines einem einen und oder ist sind war wurde wird werden mit von vom im in am an auf aus bei zur zum zu für über unter nach seit bis ab vor kein keine keinen nicht auch als wie wurden sich es er sie wir ich welche gilt welcher wieder deutlich zeigt misst bereits gegenüber jedoch sowie durch ohne dort lagen bestehen erfolgte zuletzt gut länge links rechts letzte erstmals kam gabe beginn kontrolle verlauf höhe untersucher messung rahmen rücksprache ehesten beschrieben kaudal davon",
+    "de": "der die das den dem des ein eine einer eines einem einen und oder ist sind war wurde wird werden mit von vom im in am an auf aus bei zur zum zu für über unter nach seit bis ab vor kein keine keinen nicht auch als wie wurden sich es er sie wir ich welche gilt welcher wieder deutlich zeigt bereits gegenüber jedoch sowie durch ohne dort davon zuletzt gut links rechts erstmals kam",
     "en": "the a an and or is are was were be been of in on at to for with from by during after before under over no not without since then than this that which what how she he it they said please bring was once if occurs report return there has have had does improved measures used see given recommended evidence between about",
-    "fr": "le la les un une des du de et ou est sont était a été au aux en dans par pour avec sans depuis sur ce cette il elle je nous vous ne pas plus que qui se son sa ses cela la l’ d’ avant après plus pendant puis lors sous faut-il a-t-on contrôler patient patiente",
-    "es": "el la los las un una unos de del y o es son fue ha se al en con sin por para desde su sus no que a lo le me si más antes tras durante hay está este esta debe debido cuando hasta luego previos frente paciente",
+    "fr": "le la les un une des du de et ou est sont était a été au aux en dans par pour avec sans depuis sur ce cette il elle je nous vous ne pas plus que qui se son sa ses cela la l’ d’ avant après plus pendant puis lors sous faut-il a-t-on",
+    "es": "el la los las un una unos de del y o es son fue ha se al en con sin por para desde su sus no que a lo le me si más antes tras durante hay está este esta debe debido cuando hasta luego frente",
     "it": "il lo la gli le un una di del della e è sono con senza per da nel nella non che si paziente stato",
-    "pt": "o os as um uma de do da e é são foi com sem por para em no na não que se ao paciente",
-    "nl": "de het een en van is zijn was met voor op niet bij naar uit door patiënt werd",
+    "pt": "o os as um uma de do da e é são foi com sem por para em no na não que se ao",
+    "nl": "de het een en van is zijn was met voor op niet bij naar uit door werd",
 }
 # Letters and marks that only one of these languages writes.
 MARKS = {"ß": "de", "ä": "de", "ö": "de", "ü": "de", "„": "de", "¡": "es", "¿": "es", "ñ": "es", "ó": "es", "í": "es", "ú": "es", "á": "es", "è": "fr", "ê": "fr", "à": "fr", "ç": "fr", "é": "fr", "œ": "fr", "î": "fr", "û": "fr", "ù": "fr", "ã": "pt", "õ": "pt"}
@@ -79,6 +82,7 @@ END_MARK = re.compile(r"[.!?。！？؟।%)\]}\"'“”»«’』」]\s*$")
 BROKEN = re.compile(r"(?:\.\.+|…)[\])\"'”“]*\s*$|[\[(]\s*(?:\.\.\.|…)\s*[\])]\s*$")
 PART_DATE = re.compile(r"\b(?:am|vom|zum|bis|seit|dem|den|ab|on)\s+\d{1,2}(?:\.\d{0,2})?\.?$")
 PARTICIPLE = re.compile(r"\b(?:\w*ge\w+(?:en|t)|\w+iert|(?:ver|be|ent|er|zer)\w+(?:en|t)) \w+$")
+CLAUSE_END = re.compile(r"\b(?:usw|etc|ge\w+(?:en|t)|\w+iert|(?:ver|be|ent|er|zer)\w+(?:en|t))$")
 NOTHING = re.compile(r"[\W_]+", re.UNICODE)
 QUOTED = re.compile(r"„[^“”\"]*[“”\"]|«[^»]*»|\"[^\"]*\"")
 SPACES = re.compile(r"\s+")
@@ -181,9 +185,13 @@ def copies(question: str, answer: str) -> bool:
     if len(q) < 4 or len(a) < 0.5 * len(q) or len(a) > 2 * len(q) + 20:
         return False
     least = 4
-    covered = SuffixAutomaton(q).covered(a, least)
-    extra = len(a) - covered
-    return covered >= 0.65 * len(q) and extra <= max(10, 0.3 * len(q)) and covered >= 0.72 * len(a)
+    wanted = max(0.65 * len(q), 0.72 * len(a))
+    covered = prompt_automaton(q).covered(a, least)
+    return covered >= wanted and len(a) - covered <= max(10, 0.3 * len(q))
+
+
+def prompt_automaton(question: str) -> SuffixAutomaton:
+    return SuffixAutomaton(question)
 
 
 def votes(text: str) -> dict[str, float]:
@@ -251,8 +259,8 @@ def breaks_off(answer: str) -> bool:
     if BROKEN.search(end):
         before = re.sub(r"[\s\[\](){}.…]+$", "", end)
         gap = end[len(before) : len(before) + 1]
-        # An ellipsis set off by a blank after a whole word may be the sentence's own.
-        return not (gap == " " and re.search(r"\b(?:geplant|usw|etc)$", before))
+        # An ellipsis set off by a blank after a clause's last word may be the sentence's own.
+        return not (gap == " " and CLAUSE_END.search(before))
     if end[-1:] in ",;(/[{„«&+" or (end[-1:] in "-–" and end[-2:-1].isalpha()):
         return True
     if unclosed(end):
@@ -270,23 +278,20 @@ def breaks_off(answer: str) -> bool:
     return False
 
 
-def shape(token: str) -> str:
-    return NUMBER.sub("0", token.strip(TOKEN_EDGE).lower())
-
-
 def word_uses(text: str) -> tuple[list[str], list[str]]:
     """Words of a text inside its sentences, and words before an end mark; each word before those also marked by >."""
     inside, ends = [], []
-    tokens = [t for t in text.split() if t.strip("…") and t != "..." or not t]
+    tokens = [t for t in text.split() if t.strip("…") and t != "..."]
     closed = bool(END_MARK.search(text)) or text.rstrip().endswith((" ...", " …"))
-    before = ""
+    shapes = NUMBER.sub("0", " ".join(tokens).lower()).split(" ")
+    before, last = "", len(tokens) - 1
     for i, token in enumerate(tokens):
-        word = shape(token)
+        word = shapes[i].strip(TOKEN_EDGE)
         if not word:
             continue
-        final = i + 1 == len(tokens)
-        listed = ends if (final and closed) or (token[-1] in ".!?" and not final and tokens[i + 1][0].isupper() and len(word) > 2) else inside
+        final = i == last
         if not final or closed:
+            listed = ends if final or (token[-1] in ".!?" and tokens[i + 1][0].isupper() and len(word) > 2) else inside
             listed.append(word)
             if before:
                 listed.append(before + ">")
@@ -294,6 +299,10 @@ def word_uses(text: str) -> tuple[list[str], list[str]]:
     return inside, ends
 
 
+def shape(token: str) -> str:
+    return NUMBER.sub("0", token.strip(TOKEN_EDGE).lower())
+
+
 def judge(question: str | None, answer: str | None) -> str | None:
     if answer is None or says_nothing(answer):
         return "empty"
@@ -306,52 +315,81 @@ def judge(question: str | None, answer: str | None) -> str | None:
     return "truncated" if breaks_off(answer) else None
 
 
+#: How much likelier a last word must be inside a text than before an end mark (as rates over all pairs) to leave its clause open.
+OPEN_RATIO = 3.0
+#: Beginnings of words are listed up to this length; longer ones are compared with their neighbour in order.
+LISTED_START = 39
+
+
 def judged_pairs(df: DataFrame, id_col: str = "qa_id", question_col: str = "question", answer_col: str = "answer_text") -> DataFrame:
-    """(qa_id, defect_type, tail, inside ARRAY, ends ARRAY): verdicts of single pairs and what the word statistics need."""
+    """Rows of two kinds: (qa_id, defect_type, tail, before, longer), verdicts of single pairs, and (word, mid, end), uses of a word in a batch."""
     source = df.select(F.col(id_col).alias("qa_id"), F.col(question_col).alias("question"), F.col(answer_col).alias("answer"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            defects, tails, inside, ends = [], [], [], []
+            defects, tails, mid, end = [], [], Counter(), Counter()
             for question, answer in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 defect = judge(question, answer)
                 defects.append(defect)
-                a, b = word_uses(answer) if defect is None else ([], [])
-                tokens = answer.split() if defect is None else []
-                open_end = tokens and not END_MARK.search(answer) and len(tokens) > 1
+                tokens = []
+                if defect is None:
+                    inside, ends = word_uses(answer)
+                    mid.update(inside)
+                    end.update(ends)
+                    tokens = answer.split()
+                open_end = len(tokens) > 1 and not END_MARK.search(answer)
                 tails.append([shape(tokens[-1]), shape(tokens[-2]), len(tokens) > 3] if open_end else None)
                 if question:
-                    a = a + word_uses(question)[0]
-                inside.append(a)
-                ends.append(b)
-            words = pa.list_(pa.string())
-            last, before, longer = ([t[i] if t else None for t in tails] for i in range(3))
-            columns = [pa.array(defects, pa.string()), pa.array(last, pa.string()), pa.array(before, pa.string()), pa.array(longer, pa.bool_()), pa.array(inside, words), pa.array(ends, words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["qa_id", "defect_type", "tail", "before", "longer", "inside", "ends"])
+                    mid.update(word_uses(question)[0])
+            words = list(mid.keys() | end.keys())
+            rows, more = batch.num_rows, len(words)
+            padded = lambda values, kind: pa.array([*values, *[None] * more], kind)
+            last, before, longer = (padded([t[i] if t else None for t in tails], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.bool_())))
+            ids = pa.concat_arrays([batch.column(0), pa.nulls(more, batch.column(0).type)])
+            uses = [pa.array([*[None] * rows, *values], kind) for values, kind in ((words, pa.string()), ([mid[w] for w in words], pa.int64()), ([end[w] for w in words], pa.int64()))]
+            yield pa.RecordBatch.from_arrays([ids, padded(defects, pa.string()), last, before, longer, *uses], ["qa_id", "defect_type", "tail", "before", "longer", "word", "mid", "end"])
 
     kind = source.schema["qa_id"].dataType.simpleString()
-    return spread(source).mapInArrow(run, f"qa_id {kind}, defect_type string, tail string, before string, longer boolean, inside array<string>, ends array<string>")
+    return spread(source).mapInArrow(run, f"qa_id {kind}, defect_type string, tail string, before string, longer boolean, word string, mid bigint, end bigint")
+
+
+def word_starts(tails: DataFrame, words: DataFrame) -> DataFrame:
+    """(tail): tails that begin a longer word. tails: (tail); words: (word), distinct.
+
+    Short beginnings are listed; a longer tail begins a word if it begins the next
+    one in order among all that share its first characters, so no pairs are formed.
+    """
+    head = lambda c: F.substring(c, 1, LISTED_START)
+    listed = words.select(F.explode(F.expr(f"transform(sequence(1, least(length(word) - 1, {LISTED_START})), i -> substring(word, 1, i))")).alias("tail")).distinct()
+    short = tails.select("tail").distinct().where(F.length("tail") <= LISTED_START).join(listed, "tail", "left_semi")
+    long_tails = tails.select(F.col("tail").alias("word"), F.lit(True).alias("asked")).distinct().where(F.length("word") > LISTED_START)
+    both = words.where(F.length("word") > LISTED_START).select("word", F.lit(False).alias("asked")).unionAll(long_tails)
+    both = both.groupBy("word").agg(F.max("asked").alias("asked"))
+    following = F.lead("word").over(Window.partitionBy(head("word")).orderBy("word"))
+    long = both.withColumn("following", following).where("asked").where(F.col("following").startswith(F.col("word"))).select(F.col("word").alias("tail"))
+    return short.unionAll(long)
 
 
 def defective_pairs(df: DataFrame, id_col: str = "qa_id", question_col: str = "question", answer_col: str = "answer_text") -> DataFrame:
     """(qa_id, defect_type), one row per defective pair.
 
     An answer without an end mark is truncated if its last word is only the beginning
-    of known words, or if this word often stands inside answers and never before an
-    end mark, unless the word before it is mostly the last but one.
+    of known words, or if this word is OPEN_RATIO times likelier inside a text than
+    before an end mark, unless the word before it is often the last but one.
     """
-    pairs = cut_lineage(judged_pairs(df, id_col, question_col, answer_col))
-    inside = pairs.select(F.explode("inside").alias("word"), F.lit(1).alias("mid"), F.lit(0).alias("end"))
-    ends = pairs.select(F.explode("ends").alias("word"), F.lit(0).alias("mid"), F.lit(1).alias("end"))
-    uses = cut_lineage(inside.unionAll(ends).groupBy("word").agg(F.sum("mid").alias("mid"), F.sum("end").alias("end")))
+    judged = cut_lineage(judged_pairs(df, id_col, question_col, answer_col))
+    pairs = judged.where("word is null").select("qa_id", "defect_type", "tail", "before", "longer")
+    uses = cut_lineage(judged.where("word is not null").groupBy("word").agg(F.sum("mid").alias("mid"), F.sum("end").alias("end")))
     tails = pairs.where("defect_type is null and tail != ''").select("tail", "before").distinct()
+    totals = uses.where(~F.col("word").endswith(">")).agg(F.sum("mid").alias("all_mid"), F.sum("end").alias("all_end"))  # one row
     one = uses.select(F.col("word").alias("tail"), F.col("mid").alias("mid1"), F.col("end").alias("end1"))
     follow = uses.where(F.col("word").endswith(">")).select(F.expr("substring(word, 1, length(word) - 1)").alias("before"), F.col("mid").alias("mid2"), F.col("end").alias("end2"))
-    long_words = uses.where((F.length("word") > 1) & ~F.col("word").rlike("[0>]"))
-    starts = long_words.select(F.explode(F.expr("transform(sequence(1, least(length(word), 40) - 1), i -> substring(word, 1, i))")).alias("tail")).distinct().withColumn("begins", F.lit(True))
-    known = tails.join(one, "tail", "left").join(follow, "before", "left").join(starts, "tail", "left").na.fill(0).na.fill(False)
+    long_words = uses.where((F.length("word") > 1) & ~F.col("word").rlike("[0>]")).select("word")
+    starts = word_starts(tails, long_words).withColumn("begins", F.lit(True))
+    known = tails.join(one, "tail", "left").join(follow, "before", "left").join(starts, "tail", "left").na.fill(0).na.fill(False).crossJoin(F.broadcast(totals))
     in_word = (F.col("mid1") + F.col("end1") == 0) & F.col("begins")
-    in_clause = (F.col("end1") == 0) & (F.col("mid1") >= 50) & (F.col("end2") < (F.col("mid2") + F.col("end2")) * 0.2)
+    ratio = (F.col("mid1") + 0.5) / (F.col("end1") + 0.5) * (F.col("all_end") + 1) / (F.col("all_mid") + 1)
+    in_clause = (ratio >= OPEN_RATIO) & (F.col("end2") < (F.col("mid2") + F.col("end2")) * 0.2)
     cut = known.select("tail", "before", in_word.alias("in_word"), in_clause.alias("in_clause")).where("in_word or in_clause")
     found = pairs.join(cut, ["tail", "before"], "left")
     late = F.when(F.col("in_word") | (F.col("in_clause") & F.col("longer")), "truncated")

@@ -71,6 +71,23 @@ def test_pairs_frames(spark):
     assert pairs.defective_pairs(df.limit(0)).count() == 0
 
 
+def test_words_of_any_length_are_beginnings(spark):
+    long = "x" * 60
+    words = spark.createDataFrame([("hilus",), ("hilfe",), (long + "ab",), (long + "c",), (long,)], "word string")
+    tails = spark.createDataFrame([("hi", "a"), ("hi", "b"), ("hu", "a"), (long, "a"), (long + "a", "a"), (long + "b", "a"), (long + "c", "a")], "tail string, before string")
+    assert sorted(r["tail"] for r in pairs.word_starts(tails, words).collect()) == sorted(["hi", long, long + "a"])
+
+
+def test_open_words_are_judged_by_rates(spark):
+    def found(copies, ended):
+        inside = [(i, "Wie war es?", f"Zyste Nr. {i} mit flauer Kontur am Hilus.") for i in range(copies)]
+        ends = [(10_000 + i, "Wie war es?", "Schnittfläche breit und flauer.") for i in range(ended)]
+        rows = [*inside, *ends, (99_999, "Wie war es?", "Präparat aus Segment VI, Rand mit flauer")]
+        return (99_999, "truncated") in [tuple(r) for r in pairs.defective_pairs(spark.createDataFrame(rows, "qa_id bigint, question string, answer_text string")).collect()]
+
+    assert found(60, 0) and found(600, 1) and not found(60, 60)  # one end among many uses does not switch the rule off
+
+
 def components(edges):
     parent = {}
 
