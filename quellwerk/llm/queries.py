@@ -7,9 +7,9 @@ from quellwerk.llm.pairs import p1_counts, p1_found
 from quellwerk.llm.personal import p2_found, p2_redacted
 from quellwerk.llm.pieces import p5_found, p5_pieces
 from quellwerk.llm.sentences import p8_found, p8_lengths
-from quellwerk.llm.splits import p4_assignment, p4_found
+from quellwerk.llm.splits import p4_assignment, p4_deviation, p4_found
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_redacted, p3_found, p3_groups, p4_found, p4_assignment, p5_found, p5_pieces, p6_ids, p6_token_totals, p7_found, p7_fill, p8_found, p8_lengths)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_redacted, p3_found, p3_groups, p4_found, p4_assignment, p4_deviation, p5_found, p5_pieces, p6_ids, p6_token_totals, p7_found, p7_fill, p8_found, p8_lengths)}
 
 _GAP = r"[\s\x0b\x85\p{Z}]+"
 

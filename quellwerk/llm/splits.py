@@ -9,7 +9,8 @@ position on a line per stratum that is cut in proportion to what each split stil
 needs there, positions being computed from bucket sums.
 
 Defined cases: records or entities that are null join nothing; repeated edges count
-once; an empty edge table gives no labels; records of no group stay unassigned.
+once; an empty edge table gives no labels; records of no group stay unassigned;
+strata beyond the STRATA most frequent count as one.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from quellwerk.session import cut_lineage, read_table
 
 HEAVY_PART = 1 / 1000
 BUCKETS = 128
+#: Strata whose distribution is kept apart; it bounds what the driver plans with.
+STRATA = 256
 
 
 def propagate_labels(edges: DataFrame, record: str = "record", entity: str = "entity") -> DataFrame:
@@ -81,7 +84,7 @@ def patient_edges(spark: SparkSession, sf_dir: str, records: DataFrame) -> DataF
 
 def grouped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """clinical_records with label BIGINT: the least patient number of the record's group."""
-    records = clinical_records(spark, sf_dir)
+    records = cut_lineage(clinical_records(spark, sf_dir))  # the graph and the result both read it
     labels = propagate_labels(patient_edges(spark, sf_dir, records))
     return records.join(labels, "entity", "left").withColumn("label", F.coalesce("label", "entity"))
 
@@ -115,7 +118,10 @@ def assign_groups(records: DataFrame, plan: dict[str, float], group: str = "labe
     The driver sees sums by stratum and by bucket, and at most 1 / HEAVY_PART heavy groups.
     """
     spark = records.sparkSession
-    parts = records.groupBy(F.col(group).alias("group"), F.col(stratum).alias("stratum")).agg(F.count("*").alias("n"))
+    parts = cut_lineage(records.groupBy(F.col(group).alias("group"), F.col(stratum).alias("stratum")).agg(F.count("*").alias("n")))
+    frequent = parts.groupBy("stratum").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "stratum").limit(STRATA)
+    named = frequent.select("stratum", F.col("stratum").alias("own"))
+    parts = parts.join(F.broadcast(named), "stratum", "left").groupBy("group", F.coalesce("own", F.lit("")).alias("stratum")).agg(F.sum("n").alias("n"))
     groups = parts.groupBy("group").agg(F.sum("n").alias("records"), F.max_by("stratum", F.struct("n", "stratum")).alias("stratum"))
     groups = cut_lineage(groups.withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(BUCKETS)).cast("int")))
     strata = {r["stratum"]: r["n"] for r in parts.groupBy("stratum").agg(F.sum("n").alias("n")).collect()}
@@ -144,7 +150,22 @@ def assign_groups(records: DataFrame, plan: dict[str, float], group: str = "labe
     return light.unionByName(heavy.join(F.broadcast(chosen), "group").select("group", "records", "split_name"))
 
 
+def split_plan(spark: SparkSession, sf_dir: str) -> dict[str, float]:
+    """Share by split: a handful of rows."""
+    return {r["split_name"]: r["share"] for r in read_table(spark, sf_dir, "split_plan").where("split_name is not null and share > 0").collect()}
+
+
 def p4_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(group_id, records, split_name) under the shares of split_plan (a handful of rows)."""
-    plan = {r["split_name"]: r["share"] for r in read_table(spark, sf_dir, "split_plan").where("split_name is not null and share > 0").collect()}
-    return assign_groups(grouped_records(spark, sf_dir), plan).select(patient_name("group").alias("group_id"), "records", "split_name")
+    """(group_id, records, split_name) under the shares of split_plan."""
+    return assign_groups(grouped_records(spark, sf_dir), split_plan(spark, sf_dir)).select(patient_name("group").alias("group_id"), "records", "split_name")
+
+
+def p4_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(split_name, stratum, records, share, deviation): how far the assignment's share of each stratum is from the plan's."""
+    records, plan = cut_lineage(grouped_records(spark, sf_dir)), split_plan(spark, sf_dir)
+    placed = records.join(assign_groups(records, plan).select(F.col("group").alias("label"), "split_name"), "label")
+    counts = placed.groupBy("stratum", "split_name").agg(F.count("*").alias("records"))
+    totals = counts.groupBy("stratum").agg(F.sum("records").alias("total"))
+    shares = spark.createDataFrame([(k, v / sum(plan.values())) for k, v in plan.items()], "split_name string, planned double")
+    share = F.col("records") / F.col("total")
+    return counts.join(totals, "stratum").join(F.broadcast(shares), "split_name").select("split_name", "stratum", "records", F.round(share, 6).alias("share"), F.round(share - F.col("planned"), 6).alias("deviation"))
