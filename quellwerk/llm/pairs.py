@@ -21,6 +21,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -186,10 +187,15 @@ def copies(question: str, answer: str) -> bool:
         return False
     least = 4
     wanted = max(0.65 * len(q), 0.72 * len(a))
+    # A run of four characters covers four at most: too few of them spare the walk.
+    runs = {q[i : i + least] for i in range(len(q) - least + 1)}
+    if least * sum(a[i : i + least] in runs for i in range(len(a) - least + 1)) < wanted:
+        return False
     covered = prompt_automaton(q).covered(a, least)
     return covered >= wanted and len(a) - covered <= max(10, 0.3 * len(q))
 
 
+@lru_cache(4096)
 def prompt_automaton(question: str) -> SuffixAutomaton:
     return SuffixAutomaton(question)
 
@@ -204,10 +210,14 @@ def votes(text: str) -> dict[str, float]:
         token = token.lower()
         for language in stopwords.get(token.strip(TOKEN_EDGE), ()):
             count[language] = count.get(language, 0) + 1
+    if text.isascii():
+        return count
     lower = text.lower()
     for mark, language in MARKS.items():
         if mark in lower:
             count[language] = count.get(language, 0) + min(2, lower.count(mark)) * 0.75
+    if max(lower) <= "ʯ":
+        return count
     letters = 0
     scripts: dict[str, int] = {}
     for c in lower:
