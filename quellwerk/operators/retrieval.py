@@ -10,6 +10,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,6 @@ from pyspark.sql import functions as F
 
 from quellwerk.functions.names import porter_stem, stemmed
 from quellwerk.functions.text import GRAM_ALPHABET
-from quellwerk.session import cut_lineage
 
 K1, B = 1.2, 0.75
 
@@ -72,26 +72,6 @@ def bm25_idf(n: Column, df: Column, floor: bool = False) -> Column:
     return F.greatest(F.log(ratio), F.lit(1e-6)) if floor else F.log(ratio + 1)
 
 
-def bm25(postings: DataFrame, queries: DataFrame, scope: tuple[str, ...] = (), mask: tuple[str, ...] = (), floor: bool = False, least: float = 0.0) -> DataFrame:
-    """(query_id, id, mask..., score) of documents sharing a term with the query.
-
-    postings: (id, term, tf, dl, scope..., mask...); queries: (query_id, term, mask...), distinct terms.
-    Statistics hold over the whole collection, or per `scope` column; `mask` columns
-    must agree between query and document. Postings are cut to the queries' terms
-    before anything is joined, and document lengths are summed once.
-    """
-    by = list(scope)
-    lengths = postings.select("id", "dl", *by).distinct().groupBy(*by).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    vocabulary = queries.select("term").distinct()
-    cut = cut_lineage(postings.join(vocabulary, "term", "left_semi"))  # read twice below
-    df = cut.groupBy("term", *by).agg(F.count("*").alias("df"))
-    stats = df.join(lengths, by) if by else df.crossJoin(F.broadcast(lengths))  # one row
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighted = cut.join(stats, ["term", *by]).withColumn("w", bm25_idf(F.col("n"), F.col("df"), floor) * weight)
-    joined = queries.join(weighted.select("id", "term", "w", *mask), ["term", *mask])
-    return joined.groupBy("query_id", "id", *mask).agg(F.round(F.sum("w"), 6).alias("score")).where(F.col("score") > least)
-
-
 _NOT_GRAM = re.compile(GRAM_ALPHABET)
 
 
@@ -105,73 +85,250 @@ _WORD = re.compile(r"[^\W_]+")
 _stem = lru_cache(1 << 18)(porter_stem)
 
 
+def words_of(text: str | None) -> Counter:
+    """The counts of words, as of word_counts, for work inside Arrow batches."""
+    return Counter(_WORD.findall((text or "").lower()))
+
+
 def stems_of(text: str | None) -> Counter:
     """The counts of stemmed words, as of word_counts with stem, for work inside Arrow batches."""
     return Counter(map(_stem, _WORD.findall((text or "").lower())))
 
 
-def bm25_blocks(docs: DataFrame, queries: DataFrame, k: int, id_col: str, text_col: str, block: int = 512, terms_of: Callable[[str | None], Counter] = grams_of, floor: bool = False, where: Column | None = None) -> DataFrame:
-    """(query_id, id, score, rank): k best of all documents for a stated query set, in blocks of queries.
+_LETTERS = "0123456789abcdefghijklmnopqrstuvwxyzäöüß_"
+_LETTER_CODES = np.zeros(256, np.int64)
+_LETTER_CODES[[ord(c) for c in _LETTERS]] = np.arange(1, len(_LETTERS) + 1)
+_BASE = len(_LETTERS) + 1
+#: Characters of texts that are cut into terms at a time, so that long texts bound no batch's memory.
+_CHARS_AT_ONCE = 4_000_000
+
+# (row, code, tf) of distinct terms, sorted by row, and the number of terms of each row.
+Cut = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def cut_grams(texts: list[str | None]) -> Cut:
+    """The terms of char_grams for n = 3, as codes, for whole lists of texts."""
+    flat = [_NOT_GRAM.sub(" ", (t or "").lower()).strip(" ").replace(" ", "_") for t in texts]
+    parts, low = [], 0
+    while low < len(flat):
+        high, chars = low + 1, len(flat[low])
+        while high < len(flat) and chars + len(flat[high]) < _CHARS_AT_ONCE:
+            chars += len(flat[high])
+            high += 1
+        sizes = np.array([len(t) for t in flat[low:high]], np.int64)
+        codes = _LETTER_CODES[np.frombuffer(("".join(flat[low:high]) + "  ").encode("latin-1"), np.uint8)]
+        first = np.cumsum(sizes) - sizes
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        gram = (codes[:-2] * _BASE + codes[1:-1]) * _BASE + codes[2:]
+        room = sizes[row] - (np.arange(len(row)) - first[row])  # characters of the text from here on
+        short = sizes[row] < 3  # a shorter text is one gram
+        gram = np.where(short, np.where(room == 2, gram // _BASE * _BASE, gram // _BASE**2 * _BASE**2), gram)
+        kept = (room >= 3) | (short & (room == sizes[row]))
+        key, tf = np.unique(row[kept] * _BASE**3 + gram[kept], return_counts=True)
+        parts.append((key // _BASE**3 + low, key % _BASE**3, tf, np.where(sizes == 0, 0, np.maximum(sizes - 2, 1))))
+        low = high
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int64),) * 4
+
+
+def cut_by(count: Callable[[str | None], Counter]) -> Callable[[list[str | None]], Cut]:
+    """A cutter of lists of texts from a counter of one text's words; a word's code is its hash."""
+
+    def cut(texts: list[str | None]) -> Cut:
+        rows, codes, tfs, sizes = [], [], [], []
+        for i, text in enumerate(texts):
+            found = count(text)
+            rows.append(np.full(len(found), i, np.int64))
+            codes += map(_word_code, found)
+            tfs += found.values()
+            sizes.append(found.total())
+        return np.concatenate(rows) if rows else np.empty(0, np.int64), np.array(codes, np.int64), np.array(tfs, np.int64), np.array(sizes, np.int64)
+
+    return cut
+
+
+@lru_cache(1 << 18)
+def _word_code(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+cut_stems, cut_words = cut_by(stems_of), cut_by(words_of)
 
-    queries: (query_id, text). No posting is shuffled: a block of queries, of bounded
-    size, goes to the executors; one pass over the documents counts how many hold each
-    of the block's grams, a second scores every document against the whole block by a
-    product of its gram weights with the block's matrix and keeps the k best of each
-    query in a batch. Only those are shuffled. `terms_of` cuts texts into terms;
-    `where` filters what is ranked, not the statistics; floor as in bm25_idf.
+
+def search_index(docs: DataFrame, id_col: str, text_col: str, cut: Callable[[list], Cut] = cut_grams, keep: tuple[str, ...] = (), only: np.ndarray | None = None) -> DataFrame:
+    """(id, keep..., dl INT, codes BINARY, tfs BINARY): the terms of each document where it is read, no shuffle; a row for every document.
+
+    `only` (sorted codes) leaves out all other terms; dl counts them nevertheless.
     """
-    spark = docs.sparkSession
-    pick = lambda df: df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    source, ranked = pick(docs), pick(docs if where is None else docs.where(where))
-    id_type = source.schema["id"].dataType.simpleString()
-    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {id_type}, score double"
-    hashed = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // block)))))
+    source = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("_text"))
+    names = ["id", *keep]
+    kinds = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, code, tf, sizes = cut(batch.column(len(names)).to_pylist())
+            if only is not None:
+                kept = np.isin(code, only)
+                row, code, tf = row[kept], code[kept], tf[kept]
+            edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            blob = lambda x, width: pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((edge * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(sizes, pa.int32()), blob(code.astype(np.int64), 8), blob(tf.astype(np.int32), 4)], [*names, "dl", "codes", "tfs"])
+
+    return source.mapInArrow(run, f"{kinds}, dl int, codes binary, tfs binary")
+
+
+def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a column of search_index, and the row of each."""
+    _, offsets, data = column.buffers()
+    edge = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1] // np.dtype(kind).itemsize
+    values = np.frombuffer(data, kind)[edge[0] : edge[-1]] if data is not None else np.empty(0, kind)
+    return values, np.repeat(np.arange(len(column)), np.diff(edge))
+
+
+class QueryBlock:
+    """A block of queries as postings: for each (scope, term) the queries that ask for it."""
+
+    def __init__(self, asked: pd.DataFrame, cut: Callable[[list], Cut], mask: str | None):
+        row, code, _, _ = cut(asked["text"].tolist())
+        self.names = asked["query_id"].to_numpy()
+        self.scopes = {v: i for i, v in enumerate(asked[mask].dropna().unique())} if mask else {}
+        self.terms = np.unique(code)
+        scope = asked[mask].map(self.scopes).fillna(-1).to_numpy(np.int64) if mask else np.zeros(len(asked), np.int64)
+        key = scope[row] * max(1, len(self.terms)) + np.searchsorted(self.terms, code)
+        row, key = row[kept := scope[row] >= 0], key[kept]
+        order = np.argsort(key, kind="stable")
+        self.query = row[order]
+        self.keys, self.start = np.unique(key[order], return_index=True)
+        self.start = np.append(self.start, len(order))
+
+    def meet(self, batch: pa.RecordBatch, mask: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place in keys, tf) of a batch's terms that the block asks for, and each row's scope (-1: none)."""
+        scope = np.zeros(batch.num_rows, np.int64)
+        if mask:
+            scope = np.array([self.scopes.get(v, -1) for v in batch.column(batch.schema.get_field_index(mask)).to_pylist()], np.int64)
+        code, row = _flat(batch.column(batch.schema.get_field_index("codes")), np.int64)
+        tf, _ = _flat(batch.column(batch.schema.get_field_index("tfs")), np.int32)
+        at = np.minimum(np.searchsorted(self.terms, code), max(0, len(self.terms) - 1))
+        kept = (scope[row] >= 0) & (self.terms[at] == code) if len(self.terms) else np.zeros(len(code), bool)
+        row, tf, key = row[kept], tf[kept], scope[row[kept]] * max(1, len(self.terms)) + at[kept]
+        place = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+        kept = self.keys[place] == key if len(self.keys) else np.zeros(len(key), bool)
+        return row[kept], place[kept], tf[kept], scope
+
+
+#: Queries of a block, on average; their postings take some hundred bytes each on every executor.
+BLOCK = 20_000
+#: Scores held at a time while a batch of documents meets a block.
+_SCORES_AT_ONCE = 4_000_000
+
+
+def bm25_search(index: DataFrame, queries: DataFrame, k: int | None, cut: Callable[[list], Cut] = cut_grams, mask: str | None = None, own: bool = False, floor: bool = False, where: Column | None = None, keep: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+    """(query_id, id, keep..., score, rank): k best documents (all, unranked, for k None) that share a term with a query.
+
+    index: of search_index, best written once; queries: (query_id, text, mask). A query
+    meets only documents of its own `mask` value. Statistics hold over all documents, or
+    with `own` over those of the mask value; `where` filters what is ranked, not them. No
+    document is shuffled: a block of queries goes to the executors as postings, one pass
+    counts the documents of each term, a second scores. Each task keeps what can still be
+    among the k best, and only that is shuffled; so a mask value of many rows is no task
+    of its own. Blocks hold BLOCK queries, so only a larger query set takes more passes.
+    """
+    spark = index.sparkSession
+    id_type = index.schema["id"].dataType.simpleString()
+    kept = ", ".join(f"`{c}` {index.schema[c].dataType.simpleString()}, " for c in keep).replace(", ,", ",")
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {id_type}, {kept.rstrip(', ') + ', ' if keep else ''}score double"
+    fields = ["query_id", "text", *([mask] if mask else [])]
+    hashed = queries.select(*fields, F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // block)))).alias("_block"))
     parts = []
     for number in sorted(r["_block"] for r in hashed.select("_block").distinct().collect()):
-        asked = hashed.where(F.col("_block") == number).select("query_id", "text").toPandas()
-        grams = [sorted(terms_of(t)) for t in asked["text"]]
-        place = {g: i for i, g in enumerate(sorted({g for found in grams for g in found}))}
-        names = asked["query_id"].to_numpy()
-        vocabulary = spark.sparkContext.broadcast(place)
-
-        def count(batches: Iterator[pd.DataFrame], vocabulary=vocabulary) -> Iterator[pd.DataFrame]:
-            place, df, docs, length = vocabulary.value, Counter(), 0, 0
-            for batch in batches:
-                for text in batch["text"]:
-                    found = terms_of(text)
-                    if found:
-                        docs, length = docs + 1, length + found.total()
-                        df.update(found.keys() & place.keys())
-            yield pd.DataFrame({"place": [-1, -2, *(place[g] for g in df)], "n": [docs, length, *df.values()]})
-
-        counts = dict(source.mapInPandas(count, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False))
-        n = counts.get(-1, 0)
-        if not n or not place:
+        asked = hashed.where(F.col("_block") == number).select(*fields).toPandas()
+        postings = QueryBlock(asked, cut, mask)
+        if not len(postings.keys):
             continue
-        df = np.array([counts.get(i, 0) for i in range(len(place))], float)
-        matrix = np.zeros((len(place), len(names)))
-        for q, found in enumerate(grams):
-            at = [place[g] for g in found]
-            ratio = (n - df[at] + 0.5) / (df[at] + 0.5)
-            matrix[at, q] = np.maximum(np.log(ratio), 1e-6) if floor else np.log(ratio + 1)
-        shared = spark.sparkContext.broadcast((place, names, matrix, counts[-2] / n))
-
-        def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            place, names, matrix, avgdl = shared.value
+        scopes = max(1, len(postings.scopes)) if own else 1
+        shared = spark.sparkContext.broadcast(postings)
+
+        def count(batches: Iterator[pa.RecordBatch], shared=shared, scopes=scopes) -> Iterator[pa.RecordBatch]:
+            postings = shared.value
+            df, docs, length = (np.zeros(n, np.int64) for n in (len(postings.keys) if own else len(postings.terms), scopes, scopes))
             for batch in batches:
-                for low in range(0, len(batch), 1024):
-                    rows = batch.iloc[low : low + 1024]
-                    scores = np.zeros((len(rows), len(names)))
-                    for r, text in enumerate(rows["text"]):
-                        found = terms_of(text)
-                        at = [(place[g], tf) for g, tf in found.items() if g in place]
-                        if at:
-                            where, tf = np.array(at).T
-                            scores[r] = (tf * (K1 + 1) / (tf + K1 * (1 - B + B * found.total() / avgdl))) @ matrix[where]
-                    yield best_of_batch(names, rows["id"].to_numpy(), np.round(scores.T, 6), k)
-
-        parts.append(ranked.mapInPandas(score, kinds))
-    return top_k(union_of(parts, spark, kinds), ["query_id"], k)
+                sizes = batch.column(batch.schema.get_field_index("dl")).to_numpy()
+                if own or not mask:
+                    _, place, _, scope = postings.meet(batch, mask)
+                    place = place if own else postings.keys[place]
+                else:
+                    code, _ = _flat(batch.column(batch.schema.get_field_index("codes")), np.int64)
+                    place = np.minimum(np.searchsorted(postings.terms, code), len(postings.terms) - 1)
+                    place, scope = place[postings.terms[place] == code], np.zeros(len(sizes), np.int64)
+                df += np.bincount(place, minlength=len(df))
+                inside = (scope >= 0) & (sizes > 0)  # documents without a term count nowhere
+                docs += np.bincount(scope[inside], minlength=scopes)
+                length += np.bincount(scope[inside], sizes[inside], scopes).astype(np.int64)
+            at = np.flatnonzero(df)
+            many = np.arange(scopes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, -1 - 2 * many, -2 - 2 * many])), pa.array(np.concatenate([df[at], docs, length]))], ["place", "n"])
+
+        counts = index.mapInArrow(count, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toPandas()  # at most a row a term and scope of the block
+        place, n = counts["place"].to_numpy(), counts["n"].to_numpy(float)
+        df, docs, length = np.zeros(len(postings.keys) if own else len(postings.terms)), np.zeros(scopes), np.zeros(scopes)
+        df[place[place >= 0]] = n[place >= 0]
+        for r, total in zip(place[place < 0], n[place < 0]):
+            (docs if r % 2 else length)[(-1 - r) // 2] = total
+        width = max(1, len(postings.terms))
+        own_scope = postings.keys // width if own else np.zeros(len(postings.keys), np.int64)
+        found = df if own else df[postings.keys % width]
+        ratio = (docs[own_scope] - found + 0.5) / (found + 0.5)
+        idf = np.maximum(np.log(np.maximum(ratio, 1e-300)), 1e-6) if floor else np.log(ratio + 1)
+        weights = spark.sparkContext.broadcast((idf, np.where(length > 0, length, 1) / np.maximum(docs, 1)))
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared, weights=weights) -> Iterator[pa.RecordBatch]:
+            postings, (idf, avgdl) = shared.value, weights.value
+            names = pa.array(postings.names)
+            many, least = len(postings.names), np.zeros(len(postings.names))
+            for batch in batches:
+                row, place, tf, scope = postings.meet(batch, mask)
+                sizes = batch.column(batch.schema.get_field_index("dl")).to_numpy().astype(float)
+                mean = avgdl[np.maximum(scope, 0)] if own else avgdl[0]
+                damp = K1 * (1 - B + B * sizes / mean)
+                value = idf[place] * (tf * (K1 + 1) / (tf + damp[row]))
+                docs, row = np.unique(row, return_inverse=True)
+                queries, at = [], []
+                step = max(1, _SCORES_AT_ONCE // many)
+                for low in range(0, len(docs), step):
+                    a, b = np.searchsorted(row, [low, low + step])
+                    times = postings.start[place[a:b] + 1] - postings.start[place[a:b]]
+                    source = np.repeat(np.arange(a, b), times)
+                    nth = np.arange(len(source)) - np.repeat(np.cumsum(times) - times, times)
+                    query = postings.query[postings.start[place[source]] + nth]
+                    size = min(step, len(docs) - low)
+                    scores = np.round(np.bincount(query * size + row[source] - low, value[source], many * size), 6).reshape(many, size)
+                    if k is not None and size > k:
+                        least = np.maximum(least, -np.partition(-scores, k - 1, axis=1)[:, k - 1])
+                    q, d = np.nonzero((scores >= least[:, None]) & (scores > 0))
+                    queries.append((q, scores[q, d]))
+                    at.append(docs[low + d])
+                if queries:
+                    q = np.concatenate([x for x, _ in queries])
+                    at = pa.array(np.concatenate(at))
+                    carried = [batch.column(batch.schema.get_field_index(c)).take(at) for c in ("id", *keep)]
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), *carried, pa.array(np.concatenate([x for _, x in queries]))], ["query_id", "id", *keep, "score"])
+
+        parts.append((index if where is None else index.where(where)).mapInArrow(score, kinds))
+    found = union_of(parts, spark, kinds)
+    return found if k is None else top_k(found, ["query_id"], k)
+
+
+def with_zero_scores(ranking: DataFrame, queries: DataFrame, docs: DataFrame, k: int, mask: str | None = None) -> DataFrame:
+    """ranking (query_id, id, score, rank) with rankings of under k filled up by documents that score 0, by id.
+
+    queries: (query_id, mask); docs: (id, mask). Only the k least ids of a mask value are needed, as at most k are missing and fewer are taken.
+    """
+    short = queries.join(ranking.groupBy("query_id").agg(F.count("*").alias("_found")), "query_id", "left").select("query_id", *([mask] if mask else []), F.coalesce("_found", F.lit(0)).alias("_found")).where(F.col("_found") < k)
+    first = docs.select("id", *([mask] if mask else [])).withColumn("_nth", F.row_number().over(Window.partitionBy(*([mask] if mask else [F.lit(0)])).orderBy("id"))).where(F.col("_nth") <= k).drop("_nth")
+    offered = short.join(first, mask) if mask else short.join(F.broadcast(first))  # k rows
+    offered = offered.join(ranking.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("id"))
+    filled = offered.withColumn("rank", F.col("_found").cast("int") + place).where(F.col("rank") <= k).select("query_id", "id", F.lit(0.0).alias("score"), "rank")
+    return ranking.select("query_id", "id", "score", "rank").unionByName(filled)
 
 
 def best_of_batch(names: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int, zero: bool = False) -> pd.DataFrame:
@@ -235,6 +392,18 @@ def random_ranks(pairs: DataFrame, seed: int, query: str = "query_id", item: str
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(key, item)))
 
 
+def random_gold_ranks(pool: DataFrame, seeds: list[int]) -> DataFrame:
+    """(seed, query_id, r): rank of each query's gold_id (null if it is not in the pool) in the permutations of random_ranks.
+
+    pool: (query_id, id, gold_id). A rank is one more than the number of items before the gold: a count, without sorting the pool.
+    """
+    key = lambda item: F.md5(F.concat_ws("|", F.col("query_id").cast("string"), F.col(item).cast("string"), F.col("seed").cast("string")))
+    drawn = pool.select("query_id", "id", "gold_id", F.explode(F.array(*map(F.lit, seeds))).alias("seed"))
+    before = F.struct(key("id"), "id") < F.struct(key("gold_id").alias("k"), F.col("gold_id").alias("i"))
+    held = F.max((F.col("id") == F.col("gold_id")).cast("int")) == 1
+    return drawn.groupBy("seed", "query_id").agg(F.when(held, F.count_if(before) + 1).alias("r"))
+
+
 def combine(left: DataFrame, right: DataFrame, k: int, id_col: str = "id") -> DataFrame:
     """The best k // 2 of one list and the rest of another, by score; columns that one lacks are null."""
     best = lambda df, n: df.orderBy(F.col("score").desc(), id_col).limit(n)

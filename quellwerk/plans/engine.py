@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from quellwerk.functions.dates import german_text
 from quellwerk.functions.names import porter_stem
 from quellwerk.functions.text import fts_terms, words
 from quellwerk.operators import retrieval
+from quellwerk.session import cut_lineage
 
 
 @dataclass
@@ -105,8 +107,10 @@ class Engine:
     def _ranked(self, docs: DataFrame, key: str, body: str, request: SearchRequest) -> DataFrame:
         terms = [t.lower() for t in fts_terms(request.text)]
         stems = list(dict.fromkeys(map(porter_stem, terms)))
-        asked = self.spark.createDataFrame([(0, t) for t in stems], "query_id int, term string")
-        scored = retrieval.bm25(retrieval.word_counts(docs, key, body, stem=True), asked, floor=True, least=request.least_score)
+        text = " ".join(terms)
+        index = cut_lineage(retrieval.search_index(docs, key, body, retrieval.cut_stems, only=np.unique(retrieval.cut_stems([text])[1])))
+        asked = self.spark.createDataFrame([(0, text)], "query_id int, text string")
+        scored = retrieval.bm25_search(index, asked, None, retrieval.cut_stems, floor=True).where(F.col("score") > request.least_score)
         hits = docs.where(request.condition(docs.columns)).withColumn("id", F.col(key)).join(scored.select("id", "score"), "id")
         hits = hits.withColumn("snippet", snippet(F.col(body), list(dict.fromkeys(terms + stems))))
         if request.per_patient:

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from quellwerk.functions import text as tx
 from quellwerk.functions.dates import birth_date
 from quellwerk.functions.names import fold
-from quellwerk.operators import items, linkage, retrieval
+from quellwerk.operators import evaluate, items, linkage, retrieval
 from quellwerk.operators.sections import overlap_windows
 from quellwerk.plans.registry import query
-from quellwerk.plans.search import _GLOBAL, _MASKED, _patient_ranking
+from quellwerk.plans.search import _GLOBAL, _MASKED, _patient_ranking, _sql_metrics
 from quellwerk.plans.tables import SQL_ITEMS, SQL_REPORTS, SQL_SECTIONS, patients, qa_items, reports, sections, sql_word_count, sql_words
 from quellwerk.plans.values import _NEG
 from quellwerk.session import read_table, spread
@@ -88,57 +88,32 @@ def gold_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.gold_bridge(_validated(spark, sf_dir).join(around, "section_id", "left"))
 
 
-_WRONG = f"""wrong AS (SELECT query_id, id FROM ranked JOIN asked USING (query_id) WHERE id IS DISTINCT FROM gold_id),
-    drawn AS (SELECT query_id, id FROM wrong QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY md5(query_id || '|' || id || '|42'), id) <= 4)"""
-
-
-def _negatives(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    asked, ranking = _patient_ranking(spark, sf_dir)
-    return asked, items.hard_negatives(ranking.select("query_id", "id", "rank"), asked.select("query_id", "gold_id"), pool=20)
-
-
-@query(f"WITH {SQL_SECTIONS}, {SQL_ITEMS}, {_GLOBAL}, {_MASKED}, {_WRONG} SELECT query_id, id FROM drawn")
-def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _negatives(spark, sf_dir)[1].select("query_id", "id")
-
-
-def _labelled(spark: SparkSession, sf_dir: str, asked: DataFrame, negatives: DataFrame) -> DataFrame:
-    texts = sections(spark, sf_dir, "section_content").select(F.col("section_id").alias("id"), F.col("section_content").alias("d"))
-    pairs = items.training_pairs(asked.select("query_id", F.col("question").alias("q")), asked.select("query_id", "gold_id").where("gold_id is not null"), negatives, texts)
-    return pairs.select("query_id", "id", F.col("label").cast("double").alias("label"))
-
-
-@query(
-    f"""WITH {SQL_SECTIONS}, {SQL_ITEMS}, {_GLOBAL}, {_MASKED}, {_WRONG}, ok AS (SELECT DISTINCT query_id FROM drawn JOIN asked USING (query_id) JOIN secs ON gold_id = section_id)
-    SELECT query_id, id, label FROM (SELECT query_id, gold_id AS id, 1.0 AS label FROM asked UNION ALL SELECT query_id, id, 0.0 FROM drawn) JOIN ok USING (query_id)"""
-)
-def training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _labelled(spark, sf_dir, *_negatives(spark, sf_dir))
-
-
-# The pool of the method: the fifty best within the patient that are not gold; hard_negatives and training_pairs draw from twenty, as their SQL does.
+# The pool of the method: the fifty best within the patient that are not gold.
 _POOL = f"""{_MASKED.replace('rank <= 20', 'rank <= 51', 1)},
     wrong AS (SELECT query_id, id FROM ranked JOIN asked USING (query_id) WHERE id IS DISTINCT FROM gold_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 50),
-    {_WRONG[_WRONG.index('drawn AS'):]}"""
+    drawn AS (SELECT query_id, id FROM wrong QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY md5(query_id || '|' || id || '|42'), id) <= 4)"""
 
 
-def _negatives_of_50(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _negatives(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     asked, ranking = _patient_ranking(spark, sf_dir, 51)
     pool = retrieval.top_k(ranking.where(~F.coalesce("relevant", F.lit(False))).select("query_id", "id", "score"), ["query_id"], 50)
     return asked, items.hard_negatives(pool, asked.select("query_id", "gold_id"))
 
 
 @query(f"WITH {SQL_SECTIONS}, {SQL_ITEMS}, {_GLOBAL}, {_POOL} SELECT query_id, id FROM drawn")
-def hard_negatives_of_50(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _negatives_of_50(spark, sf_dir)[1].select("query_id", "id")
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _negatives(spark, sf_dir)[1].select("query_id", "id")
 
 
 @query(
     f"""WITH {SQL_SECTIONS}, {SQL_ITEMS}, {_GLOBAL}, {_POOL}, ok AS (SELECT DISTINCT query_id FROM drawn JOIN asked USING (query_id) JOIN secs ON gold_id = section_id)
     SELECT query_id, id, label FROM (SELECT query_id, gold_id AS id, 1.0 AS label FROM asked UNION ALL SELECT query_id, id, 0.0 FROM drawn) JOIN ok USING (query_id)"""
 )
-def training_pairs_of_50(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _labelled(spark, sf_dir, *_negatives_of_50(spark, sf_dir))
+def training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, negatives = _negatives(spark, sf_dir)
+    texts = sections(spark, sf_dir, "section_content").select(F.col("section_id").alias("id"), F.col("section_content").alias("d"))
+    pairs = items.training_pairs(asked.select("query_id", F.col("question").alias("q")), asked.select("query_id", "gold_id").where("gold_id is not null"), negatives, texts)
+    return pairs.select("query_id", "id", F.col("label").cast("double").alias("label"))
 
 
 @query(
@@ -155,13 +130,34 @@ def shared_words(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([round(len(a & b) / max(1, len(a)), 6) for a, b in sets])
 
 
-@query()
-def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two stages: the hundred best by BM25, scored again by a supplied model, twenty kept."""
+_Q_WORDS, _D_WORDS = (f"list_distinct({sql_words(f'lower({c})')})" for c in ("question", "section_content"))
+_RERANKED = f"""{_MASKED.replace('rank <= 20', 'rank <= 100', 1)},
+    modelled AS (SELECT query_id, id, gold_id, round(len(list_filter({_Q_WORDS}, lambda x: list_contains({_D_WORDS}, x))) / greatest(1, len({_Q_WORDS})), 6) AS model_score FROM ranked JOIN asked USING (query_id) JOIN secs ON id = section_id),
+    reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY model_score DESC, id) AS rank FROM modelled QUALIFY rank <= 20)"""
+
+
+def _reranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     asked, ranking = _patient_ranking(spark, sf_dir, 100)
     texts = sections(spark, sf_dir, "section_content").select(F.col("section_id").alias("id"), F.col("section_content").alias("d"))
     both = ranking.select("query_id", "id").join(asked.select("query_id", F.col("question").alias("q")), "query_id").join(texts, "id")
-    return items.rerank(both, shared_words, 20)
+    return asked, items.rerank(both, shared_words, 20)
+
+
+@query(f"WITH {SQL_SECTIONS}, {SQL_ITEMS}, {_GLOBAL}, {_RERANKED} SELECT query_id, id, model_score, rank FROM reranked")
+def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stages: the hundred best by BM25, scored again by a supplied model, twenty kept."""
+    return _reranked(spark, sf_dir)[1]
+
+
+@query(
+    f"""WITH {SQL_SECTIONS}, {SQL_ITEMS}, {_GLOBAL}, {_RERANKED}, firsts AS (SELECT query_id, min(rank) - 1 AS first_rank, list_sort(list(rank)) AS ranks FROM reranked WHERE id = gold_id GROUP BY query_id),
+    final AS (SELECT asked.query_id, first_rank, coalesce(firsts.ranks, []) AS ranks FROM asked LEFT JOIN firsts USING (query_id)) SELECT {_sql_metrics()} FROM final"""
+)
+def eval_rerank_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of the list after the second stage."""
+    asked, ranking = _reranked(spark, sf_dir)
+    judged = ranking.join(asked.select("query_id", "gold_id"), "query_id").withColumn("relevant", F.col("id") == F.col("gold_id"))
+    return evaluate.metrics(evaluate.judged(judged, asked))
 
 
 def _roster(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,14 +6,15 @@ against all rows.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quellwerk.functions.text import char_grams, fts_terms
+from quellwerk.functions.text import fts_terms
 from quellwerk.operators import evaluate, retrieval
 from quellwerk.plans.registry import query
 from quellwerk.plans.tables import SQL_ITEMS, SQL_PATIENTS, SQL_REPORTS, SQL_SECTIONS, patients, qa_items, reports, sections
-from quellwerk.session import read_table, spread
+from quellwerk.session import cut_lineage, read_table, spread
 
 _NORM = "replace(trim(regexp_replace(lower(coalesce({0}, '')), '[^0-9a-zA-ZäöüÄÖÜß]+', ' ', 'g')), ' ', '_')"
 _GRAMS = "CASE WHEN t = '' THEN 0 ELSE greatest(length(t) - 2, 1) END"
@@ -33,8 +34,9 @@ _GLOBAL = f"""{_POSTINGS}, lens AS (SELECT DISTINCT id, dl FROM post), tot AS (S
     dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM post GROUP BY term)"""
 
 
-def _section_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.gram_counts(spread(sections(spark, sf_dir, "patient_id", "section_content")), "section_id", "section_content", keep=("patient_id",))
+def _section_index(spark: SparkSession, sf_dir: str, *columns: str, cut=retrieval.cut_grams) -> DataFrame:
+    """Terms of all sections, written once and read by the counting and the scoring pass."""
+    return cut_lineage(retrieval.search_index(spread(sections(spark, sf_dir, "section_content", *columns)), "section_id", "section_content", cut, columns))
 
 
 def asked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,21 +46,20 @@ def asked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(owner, "section_id", "left").select(F.col("qa_id").alias("query_id"), F.col("section_id").alias("gold_id"), "question", F.col("section_name").alias("gold_name"), "phenomena", "patient_id")
 
 
-def _query_grams(asked: DataFrame) -> DataFrame:
-    return asked.select("query_id", "patient_id", F.explode(F.array_distinct(char_grams("question"))).alias("term"))
+_ALL = f"""WITH {SQL_SECTIONS}, {SQL_ITEMS}, {_GLOBAL}, positive AS MATERIALIZED (SELECT query_id, id, round(sum({_WEIGHT}), 6) AS score FROM (SELECT query_id, term FROM qg) JOIN post USING (term) JOIN dfs USING (term), tot GROUP BY ALL),
+    scored AS (SELECT query_id, id, coalesce(score, 0) AS score FROM (SELECT asked.query_id, docs.id FROM asked, docs) LEFT JOIN positive USING (query_id, id))"""
 
 
-@query(
-    f"""WITH {SQL_SECTIONS}, {SQL_ITEMS}, {_GLOBAL}, scored AS MATERIALIZED (SELECT query_id, id, round(sum({_WEIGHT}), 6) AS score FROM (SELECT query_id, term FROM qg) JOIN post USING (term) JOIN dfs USING (term), tot GROUP BY ALL)
-    SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 10"""
-)
+@query(f"{_ALL} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Character-gram BM25 over all sections, ten best a question."""
+    """Character-gram BM25 over all sections, ten best a question; sections that score 0 rank last."""
     asked = asked_items(spark, sf_dir).select("query_id", F.col("question").alias("text"))
-    return retrieval.bm25_blocks(spread(sections(spark, sf_dir, "section_content")), asked, 10, "section_id", "section_content")
+    ranking = retrieval.bm25_search(_section_index(spark, sf_dir), asked, 10)
+    return retrieval.with_zero_scores(ranking, asked.select("query_id"), sections(spark, sf_dir, "section_id").select(F.col("section_id").alias("id")), 10)
 
 
-_MASKED = f"""scored AS MATERIALIZED (SELECT query_id, id, round(sum({_WEIGHT}), 6) AS score FROM qg JOIN post USING (term, patient_id) JOIN dfs USING (term), tot GROUP BY ALL),
+_MASKED = f"""positive AS MATERIALIZED (SELECT query_id, id, round(sum({_WEIGHT}), 6) AS score FROM qg JOIN post USING (term, patient_id) JOIN dfs USING (term), tot GROUP BY ALL),
+    scored AS MATERIALIZED (SELECT query_id, id, coalesce(score, 0) AS score FROM (SELECT asked.query_id, docs.id FROM asked JOIN docs USING (patient_id)) LEFT JOIN positive USING (query_id, id)),
     ranked AS MATERIALIZED (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 20),
     hits AS (SELECT query_id, min(rank) - 1 AS first_rank, list_sort(list(rank)) AS ranks FROM ranked JOIN asked USING (query_id) WHERE id = gold_id GROUP BY query_id),
     judged AS (SELECT asked.*, first_rank, coalesce(ranks, []) AS ranks FROM asked LEFT JOIN hits USING (query_id))"""
@@ -75,9 +76,12 @@ def _sql_metrics() -> str:
 
 
 def _patient_ranking(spark: SparkSession, sf_dir: str, k: int = 20) -> tuple[DataFrame, DataFrame]:
-    asked = asked_items(spark, sf_dir)
-    scored = retrieval.bm25(_section_postings(spark, sf_dir), _query_grams(asked), mask=("patient_id",))
-    ranking = retrieval.top_k(scored, ["query_id"], k)
+    """The questions, and the k best sections of each one's patient; statistics of the whole collection, sections that score 0 rank last."""
+    asked = cut_lineage(asked_items(spark, sf_dir))
+    queries = asked.select("query_id", F.col("question").alias("text"), "patient_id")
+    ranking = retrieval.bm25_search(_section_index(spark, sf_dir, "patient_id"), queries, k, mask="patient_id")
+    owners = sections(spark, sf_dir, "patient_id").select(F.col("section_id").alias("id"), "patient_id").where("patient_id is not null")
+    ranking = retrieval.with_zero_scores(cut_lineage(ranking), queries, owners, k, "patient_id")
     return asked, ranking.join(asked.select("query_id", "gold_id"), "query_id").withColumn("relevant", F.col("id") == F.col("gold_id"))
 
 
@@ -119,17 +123,18 @@ def section_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {SQL_SECTIONS}, {SQL_ITEMS}, {_POSTINGS.replace('FROM secs)', 'FROM secs WHERE length(section_content) > 50)', 1)}, lens AS (SELECT DISTINCT id, patient_id, dl FROM post),
     tot AS (SELECT patient_id, count(*) AS n, avg(dl) AS avgdl FROM lens GROUP BY 1), dfs AS MATERIALIZED (SELECT patient_id, term, count(*) AS df FROM post GROUP BY ALL),
-    scored AS MATERIALIZED (SELECT query_id, id, round(sum({_WEIGHT}), 6) AS score FROM qg JOIN post USING (term, patient_id) JOIN dfs USING (term, patient_id) JOIN tot USING (patient_id) GROUP BY ALL)
+    positive AS MATERIALIZED (SELECT query_id, id, round(sum({_WEIGHT}), 6) AS score FROM qg JOIN post USING (term, patient_id) JOIN dfs USING (term, patient_id) JOIN tot USING (patient_id) GROUP BY ALL),
+    scored AS (SELECT query_id, id, coalesce(score, 0) AS score FROM (SELECT asked.query_id, docs.id FROM asked JOIN docs USING (patient_id)) LEFT JOIN positive USING (query_id, id))
     SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 5"""
 )
 def bm25_per_patient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of the patient's own sections of over 50 characters; five best."""
-    asked = asked_items(spark, sf_dir)
-    docs = sections(spark, sf_dir, "patient_id", "section_content").where(F.length("section_content") > 50)
-    docs = docs.join(asked.select("patient_id").distinct(), "patient_id", "left_semi")  # other patients' statistics are not asked for
-    postings = retrieval.gram_counts(spread(docs), "section_id", "section_content", keep=("patient_id",))
-    scored = retrieval.bm25(postings, _query_grams(asked), scope=("patient_id",), mask=("patient_id",))
-    return retrieval.top_k(scored, ["query_id"], 5).select("query_id", "id", "score", "rank")
+    asked = cut_lineage(asked_items(spark, sf_dir))
+    long = sections(spark, sf_dir, "patient_id", "section_content").where(F.length("section_content") > 50)
+    index = cut_lineage(retrieval.search_index(spread(long), "section_id", "section_content", keep=("patient_id",)))
+    queries = asked.select("query_id", F.col("question").alias("text"), "patient_id")
+    ranking = cut_lineage(retrieval.bm25_search(index, queries, 5, mask="patient_id", own=True))
+    return retrieval.with_zero_scores(ranking, queries, index.select("id", "patient_id").where("patient_id is not null"), 5, "patient_id")
 
 
 _VEC = """pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS id, q.label AS ql, v.label AS vl, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
@@ -176,11 +181,8 @@ def random_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five seeded permutations of each question's own patient's sections: mean and deviation over the trials."""
     asked = asked_items(spark, sf_dir).where("patient_id is not null").select("query_id", "gold_id", "patient_id")
     pool = asked.join(sections(spark, sf_dir, "patient_id").select(F.col("section_id").alias("id"), "patient_id"), "patient_id")
-    trials = None
-    for seed in range(42, 47):
-        firsts = retrieval.random_ranks(pool, seed).groupBy("query_id").agg(F.max(F.when(F.col("id") == F.col("gold_id"), F.col("rank"))).alias("r"))
-        one = firsts.agg(F.avg(F.coalesce((F.col("r") <= 10).cast("int"), F.lit(0))).alias("recall_10"), F.avg(F.when(F.col("r") <= 20, 1 / F.col("r")).otherwise(0.0)).alias("mrr"))
-        trials = one if trials is None else trials.unionAll(one)
+    firsts = retrieval.random_gold_ranks(pool, list(range(42, 47)))
+    trials = firsts.groupBy("seed").agg(F.avg(F.coalesce((F.col("r") <= 10).cast("int"), F.lit(0))).alias("recall_10"), F.avg(F.when(F.col("r") <= 20, 1 / F.col("r")).otherwise(0.0)).alias("mrr"))
     both = [(m, f) for m in ("recall_10", "mrr") for f in ("mean", "std")]
     return trials.agg(*(F.round(F.avg(m) if f == "mean" else F.stddev_pop(m), 6).alias(f"{m}_{f}") for m, f in both))
 
@@ -199,13 +201,14 @@ def _sql_words_search(table: str, key: str, body: str, extra: str, where: str, o
         FROM {out}_p JOIN {out}_df USING (term) JOIN {out}_d USING (id), {out}_tot WHERE {where} GROUP BY ALL)"""
 
 
-def _word_search(docs: DataFrame, key: str, body: str, keep: tuple[str, ...], where) -> DataFrame:
-    """Any-of word search: statistics over all documents, filters before ranking."""
-    postings = retrieval.word_counts(spread(docs), key, body)
-    terms = docs.sparkSession.createDataFrame([(0, t) for t in SEARCH_TERMS], "query_id int, term string")
-    found = retrieval.bm25(postings, terms, floor=True)
-    rows = docs.select(F.col(key).alias("id"), *keep).where(where)
-    return found.join(rows, "id").select("id", *keep, "score")
+def _word_search(docs: DataFrame, key: str, body: str, keep: tuple[str, ...], where, cut=retrieval.cut_words) -> DataFrame:
+    """Any-of word search: statistics over all documents, filters before ranking. Only the question's terms leave the batches."""
+    text = " ".join(SEARCH_TERMS)
+    only = np.unique(cut([text])[1])
+    filters = tuple(c for c in ("patient_id", "report_type", "report_date") if c in docs.columns)
+    index = cut_lineage(retrieval.search_index(spread(docs), key, body, cut, filters, only))
+    asked = docs.sparkSession.createDataFrame([(0, text)], "query_id int, text string")
+    return retrieval.bm25_search(index, asked, None, cut, floor=True, where=where, keep=keep).select("id", *keep, "score")
 
 
 _SEC_WHERE = "lower(trim(report_type)) IN ('rad', 'arztbrief') AND report_date >= DATE '2008-01-01' AND report_date <= DATE '2022-12-31'"
@@ -223,10 +226,10 @@ def word_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def word_search_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stemmed word BM25 of every question of the stated query set, filters as in word_search; twenty best a question."""
-    docs = spread(sections(spark, sf_dir, "section_content", "report_type", "report_date"))
     terms = F.udf(lambda q: " ".join(fts_terms(q or "")), "string")
     asked = asked_items(spark, sf_dir).select("query_id", terms("question").alias("text"))
-    return retrieval.bm25_blocks(docs, asked, 20, "section_id", "section_content", terms_of=retrieval.stems_of, floor=True, where=F.expr(_SEC_WHERE))
+    index = _section_index(spark, sf_dir, "report_type", "report_date", cut=retrieval.cut_stems)
+    return retrieval.bm25_search(index, asked, 20, retrieval.cut_stems, floor=True, where=F.expr(_SEC_WHERE))
 
 
 @query(f"WITH {SQL_SECTIONS}, {_SEC_SQL} SELECT patient_id, count(*) AS hits, max(score) AS best FROM found WHERE patient_id IS NOT NULL GROUP BY 1")

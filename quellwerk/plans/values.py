@@ -128,21 +128,12 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "events").select("event_id", parsed.alias("p")).select("event_id", "p.k", F.coalesce("p.missing", F.lit(-1)).alias("missing"))
 
 
-@query(
-    f"""WITH {SQL_ITEMS}, c AS (SELECT qa_id, trim(regexp_replace(coalesce(question, '') || chr(10) || coalesce(answer_text, ''), '[\\s\\x0b\\x85\\p{{Z}}]+', ' ', 'g')) AS t FROM items)
-    SELECT qa_id, CASE WHEN length(t) > 120 THEN left(t, 117) || '...' ELSE t END AS line FROM c"""
-)
-def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = F.concat(F.coalesce("question", F.lit("")), F.lit("\n"), F.coalesce("answer_text", F.lit("")))
-    return qa_items(spark, sf_dir, "question", "answer_text").select("qa_id", text.clean_csv(joined, 120).alias("line"))
-
-
 @query(
     f"""WITH {SQL_ITEMS}, c AS (SELECT qa_id, trim(regexp_replace(coalesce(question, '') || chr(10) || coalesce(answer_text, ''), '[\\s\\x0b\\x85\\p{{Z}}]+', ' ', 'g')) AS t FROM items)
     SELECT qa_id, CASE WHEN length(t) > 1000 THEN left(t, 997) || '...' ELSE t END AS line FROM c"""
 )
-def csv_lines_of_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cut only over 1,000 characters, as the reference does; the SQL of csv_lines cuts over 120."""
+def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cut only over 1,000 characters."""
     joined = F.concat(F.coalesce("question", F.lit("")), F.lit("\n"), F.coalesce("answer_text", F.lit("")))
     return qa_items(spark, sf_dir, "question", "answer_text").select("qa_id", text.clean_csv(joined).alias("line"))
 
