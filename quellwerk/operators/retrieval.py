@@ -217,8 +217,8 @@ class QueryBlock:
 
 #: Queries of a block, on average; their postings take some hundred bytes each on every executor.
 BLOCK = 20_000
-#: Scores held at a time while a batch of documents meets a block.
-_SCORES_AT_ONCE = 4_000_000
+#: Scores and summands held at a time while a batch of documents meets a block.
+_SCORES_AT_ONCE = 1_000_000
 
 
 def bm25_search(index: DataFrame, queries: DataFrame, k: int | None, cut: Callable[[list], Cut] = cut_grams, mask: str | None = None, own: bool = False, floor: bool = False, where: Column | None = None, keep: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
@@ -292,14 +292,19 @@ def bm25_search(index: DataFrame, queries: DataFrame, k: int | None, cut: Callab
                 value = idf[place] * (tf * (K1 + 1) / (tf + damp[row]))
                 docs, row = np.unique(row, return_inverse=True)
                 queries, at = [], []
-                step = max(1, _SCORES_AT_ONCE // many)
-                for low in range(0, len(docs), step):
-                    a, b = np.searchsorted(row, [low, low + step])
-                    times = postings.start[place[a:b] + 1] - postings.start[place[a:b]]
+                every = postings.start[place + 1] - postings.start[place]  # queries that ask for the term
+                work = np.cumsum(np.bincount(row, every, len(docs)) + many)
+                edges = [0]
+                while edges[-1] < len(docs):
+                    done = work[edges[-1] - 1] if edges[-1] else 0
+                    edges.append(max(edges[-1] + 1, int(np.searchsorted(work, done + _SCORES_AT_ONCE))))
+                for low, high in zip(edges, edges[1:]):
+                    a, b = np.searchsorted(row, [low, high])
+                    times = every[a:b]
                     source = np.repeat(np.arange(a, b), times)
                     nth = np.arange(len(source)) - np.repeat(np.cumsum(times) - times, times)
                     query = postings.query[postings.start[place[source]] + nth]
-                    size = min(step, len(docs) - low)
+                    size = high - low
                     scores = np.round(np.bincount(query * size + row[source] - low, value[source], many * size), 6).reshape(many, size)
                     if k is not None and size > k:
                         least = np.maximum(least, -np.partition(-scores, k - 1, axis=1)[:, k - 1])

@@ -2,16 +2,42 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quellwerk.operators.ranks import ranged_rank, salted_rank
+from quellwerk.session import cut_lineage, estimated_bytes
+
+#: Suffixes that one task lists.
+CHUNK = 10_000
+
+
+#: Frames estimated above this size are not shuffled to resolve a few repeated keys; repeated keys are broadcast up to this number.
+WIDE_BYTES, BROADCAST_KEYS = 1 << 30, 1_000_000
+
+
+def latest(df: DataFrame, keys: list[str], order: list[Column], wide_bytes: int = WIDE_BYTES) -> DataFrame:
+    """One row per key, the first in the given order; rows with a null key are dropped.
 
-def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row per key, the first in the given order; rows with a null key are kept apart and dropped."""
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    Of a large frame only the rows of repeated keys are ranked, found by the keys alone;
+    all others stay where they are read. Where too many keys repeat to be broadcast, or
+    the frame is small, all rows are ranked.
+    """
     for key in keys:
-        ranked = ranked.where(F.col(key).isNotNull())
-    return ranked.where("_rank = 1").drop("_rank")
+        df = df.where(F.col(key).isNotNull())
+
+    def first(rows: DataFrame) -> DataFrame:
+        ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        return ranked.where("_rank = 1").drop("_rank")
+
+    if estimated_bytes(df) < wide_bytes:
+        return first(df)
+    repeated = cut_lineage(df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys))
+    if repeated.count() > BROADCAST_KEYS:
+        return first(df)
+    return df.join(F.broadcast(repeated), keys, "left_anti").unionByName(first(df.join(F.broadcast(repeated), keys, "left_semi")))
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,13 +70,26 @@ def duplicate_status(df: DataFrame, content: str, owner: str, order: list[Column
 
 
 def unique_names(df: DataFrame, name: str, order: list[Column], mark: str = "_", into: str = "unique_name") -> DataFrame:
-    """Suffix 1, 2, ... for repeats of a name; a suffixed name that meets a natural one gets another suffix of its hash."""
-    rank = F.row_number().over(Window.partitionBy(name).orderBy(*order))
-    named = df.withColumn(into, F.when(rank == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(mark), (rank - 1).cast("string"))))
-    natural = df.select(F.col(name).alias(into)).distinct().withColumn("_taken", F.lit(True))
-    joined = named.join(natural, into, "left")
-    clash = F.col("_taken").isNotNull() & (F.col(into) != F.col(name))
-    return joined.withColumn(into, F.when(clash, F.concat(F.col(into), F.lit(mark + "x"))).otherwise(F.col(into))).drop("_taken")
+    """df with a name that no other row has: the first row of a name keeps it, each further one takes the least free suffix 1, 2, ...
+
+    A suffixed form that is a name of the table itself is passed over; no two names have
+    a form in common, as its last mark tells name and suffix apart. Null names stay null.
+    A name that many rows share is ranked and suffixed by many tasks.
+    """
+    named = df.where(F.col(name).isNotNull())
+    ranked = ranged_rank(named, name, order, "_nth")
+    counts = ranked.groupBy(F.col(name).alias("_name")).agg(F.count("*").alias("_n"))
+    natural = counts.select(F.col("_name").alias("_form"), F.lit(True).alias("_taken"))
+    shape = F.regexp_extract("_form", "(?s)^(.*)" + re.escape(mark) + r"[1-9]\d*$", 1)
+    blocked = natural.select(shape.alias("_name")).groupBy("_name").agg(F.count("*").alias("_blocked"))
+    # A name needs as many suffixes as it has further rows and forms that are names: listed in chunks.
+    needed = counts.where("_n > 1").join(blocked, "_name", "left").select("_name", (F.col("_n") - 1 + F.coalesce("_blocked", F.lit(0))).alias("_m"))
+    chunks = needed.select("_name", "_m", F.explode(F.sequence(F.lit(0), F.floor((F.col("_m") - 1) / CHUNK))).alias("_c"))
+    spread_out = chunks.where("_m > 0").repartition("_name", "_c").select("_name", F.explode(F.sequence(F.col("_c") * CHUNK + 1, F.least("_m", (F.col("_c") + 1) * CHUNK))).alias("_i"))
+    forms = spread_out.withColumn("_form", F.concat("_name", F.lit(mark), F.col("_i").cast("string"))).join(natural, "_form", "left_anti")
+    free = salted_rank(forms, "_name", "_i").select(F.col("_name").alias(name), "_form", (F.col("rank") + 1).alias("_nth"))
+    joined = ranked.join(free, [name, "_nth"], "left").withColumn(into, F.coalesce("_form", name)).drop("_nth", "_form")
+    return joined.select(*df.columns, into).unionByName(df.where(F.col(name).isNull()).withColumn(into, F.lit(None).cast("string")).select(*df.columns, into))
 
 
 def nameless(first: str = "firstname", last: str = "lastname") -> Column:

@@ -41,9 +41,10 @@ def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SQL_REPORTS}, base AS (SELECT report_id, source_path, filename, row_number() OVER (PARTITION BY filename ORDER BY source_path NULLS FIRST, report_id) AS r FROM reps WHERE filename IS NOT NULL),
-    named AS (SELECT report_id, filename, CASE WHEN r = 1 THEN filename ELSE filename || '_' || (r - 1) END AS u FROM base)
-    SELECT report_id, CASE WHEN u <> filename AND u IN (SELECT filename FROM base) THEN u || '_x' ELSE u END AS unique_name FROM named"""
+    rf"""WITH {SQL_REPORTS}, base AS (SELECT report_id, filename, row_number() OVER (PARTITION BY filename ORDER BY source_path NULLS FIRST, report_id) - 1 AS nth, count(*) OVER (PARTITION BY filename) AS n FROM reps WHERE filename IS NOT NULL),
+    offered AS (SELECT filename, i, filename || '_' || i AS form FROM (SELECT DISTINCT filename, unnest(range(1, n + (SELECT count(*) FROM base))) AS i FROM base WHERE n > 1)),
+    free AS (SELECT filename, form, row_number() OVER (PARTITION BY filename ORDER BY i) AS nth FROM offered WHERE form NOT IN (SELECT filename FROM base))
+    SELECT report_id, coalesce(form, filename) AS unique_name FROM base LEFT JOIN free USING (filename, nth)"""
 )
 def unique_report_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = reports(spark, sf_dir, "filename").where(F.col("filename").isNotNull())

@@ -53,9 +53,9 @@ _ALL = f"""WITH {SQL_SECTIONS}, {SQL_ITEMS}, {_GLOBAL}, positive AS MATERIALIZED
 @query(f"{_ALL} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character-gram BM25 over all sections, ten best a question; sections that score 0 rank last."""
-    asked = asked_items(spark, sf_dir).select("query_id", F.col("question").alias("text"))
-    ranking = retrieval.bm25_search(_section_index(spark, sf_dir), asked, 10)
-    return retrieval.with_zero_scores(ranking, asked.select("query_id"), sections(spark, sf_dir, "section_id").select(F.col("section_id").alias("id")), 10)
+    asked = cut_lineage(asked_items(spark, sf_dir).select("query_id", F.col("question").alias("text")))
+    index = _section_index(spark, sf_dir)
+    return retrieval.with_zero_scores(cut_lineage(retrieval.bm25_search(index, asked, 10)), asked.select("query_id"), index.select("id"), 10)
 
 
 _MASKED = f"""positive AS MATERIALIZED (SELECT query_id, id, round(sum({_WEIGHT}), 6) AS score FROM qg JOIN post USING (term, patient_id) JOIN dfs USING (term), tot GROUP BY ALL),
@@ -79,9 +79,9 @@ def _patient_ranking(spark: SparkSession, sf_dir: str, k: int = 20) -> tuple[Dat
     """The questions, and the k best sections of each one's patient; statistics of the whole collection, sections that score 0 rank last."""
     asked = cut_lineage(asked_items(spark, sf_dir))
     queries = asked.select("query_id", F.col("question").alias("text"), "patient_id")
-    ranking = retrieval.bm25_search(_section_index(spark, sf_dir, "patient_id"), queries, k, mask="patient_id")
-    owners = sections(spark, sf_dir, "patient_id").select(F.col("section_id").alias("id"), "patient_id").where("patient_id is not null")
-    ranking = retrieval.with_zero_scores(cut_lineage(ranking), queries, owners, k, "patient_id")
+    index = _section_index(spark, sf_dir, "patient_id")
+    ranking = cut_lineage(retrieval.bm25_search(index, queries, k, mask="patient_id"))
+    ranking = retrieval.with_zero_scores(ranking, queries, index.select("id", "patient_id").where("patient_id is not null"), k, "patient_id")
     return asked, ranking.join(asked.select("query_id", "gold_id"), "query_id").withColumn("relevant", F.col("id") == F.col("gold_id"))
 
 

@@ -32,6 +32,11 @@ def build_session(app: str = "quellwerk", cpus: int | None = None, **conf: str)
     return spark
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of a frame's size, columns pruned."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,19 +53,22 @@ def spread(df: DataFrame) -> DataFrame:
     shuffled where the input is large; a shuffled frame only if it is small.
     """
     wanted = max(2, df.sparkSession.sparkContext.defaultParallelism)
-    plan = df._jdf.queryExecution().optimizedPlan()
-    if any(name in plan.toString() for name in _SHUFFLING):
-        small = int(str(plan.stats().sizeInBytes())) < SMALL_BYTES
-        return df.repartition(wanted) if small else df
+    if any(name in df._jdf.queryExecution().optimizedPlan().toString() for name in _SHUFFLING):
+        return df.repartition(wanted) if estimated_bytes(df) < SMALL_BYTES else df
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted // 2 else df
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the session's own setting, else a temporary one (tests)."""
+    """The folder for checkpoints: the session's own setting; with a local master and none set, a temporary one.
+
+    A folder of one machine is none that executors elsewhere can read, so a cluster must name one.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         told = spark.conf.get("spark.checkpoint.dir", None)
         if told is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             told = tempfile.mkdtemp(prefix="quellwerk-checkpoint-")
             atexit.register(shutil.rmtree, told, True)
         sc.setCheckpointDir(told)

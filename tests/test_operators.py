@@ -78,8 +78,36 @@ def test_rows(spark):
     old, new = spark.createDataFrame([(1, "o"), (2, "o")], "k int, v string"), spark.createDataFrame([(2, "n"), (3, "n"), (3, "m")], "k int, v string")
     assert sorted(map(tuple, rows.upsert(old, rows.latest(new, ["k"], [F.col("v")]), ["k"]).collect())) == [(1, "o"), (2, "n"), (3, "m")]
     assert sorted(map(tuple, rows.insert_new(old, new, ["k"], [F.col("v")]).collect())) == [(1, "o"), (2, "o"), (3, "m")]
-    names = spark.createDataFrame([("n", 1), ("n", 2), ("n_1", 3)], "n string, t int")
-    assert len({r["unique_name"] for r in rows.unique_names(names, "n", [F.col("t")]).collect()}) == 3
+    for wide_bytes in (0, 1 << 40):  # both ways give the same rows
+        assert sorted(map(tuple, rows.latest(new.unionAll(spark.createDataFrame([(None, "x")], "k int, v string")), ["k"], [F.col("v").desc()], wide_bytes).collect())) == [(2, "n"), (3, "n")]
+
+
+def test_unique_names_are_unique(spark):
+    given = ["a", "a", "a_1", "a_1_x", "a_1", "a_1_1", "b", "b", "b", "b_2", "hot", None, None, *["hot"] * 500, "hot_7", "hot_400"]
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(given)], "n string, t int").repartition(6)
+    out = {r["t"]: r["unique_name"] for r in rows.unique_names(df, "n", [F.col("t")]).collect()}
+    kept = [v for v in out.values() if v is not None]
+    assert len(out) == len(given) and len(set(kept)) == len(kept) == len(given) - 2
+    assert [out[i] for i in range(10)] == ["a", "a_2", "a_1", "a_1_x", "a_1_2", "a_1_1", "b", "b_1", "b_3", "b_2"]
+    assert out[10] == "hot" and out[13] == "hot_1" and "hot_502" in kept and "hot_503" not in kept
+
+
+def test_checkpoints_need_a_shared_folder():
+    from quellwerk import session
+
+    class Cluster:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Unset:
+        get = staticmethod(lambda key, default=None: default)
+
+    class Session:
+        sparkContext = Cluster
+        conf = Unset
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Session)
 
 
 def test_salted_rank_matches_plain_rank(spark):
