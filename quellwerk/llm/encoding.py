@@ -14,6 +14,7 @@ rows give repeated results; columns of the input other than id and text are drop
 
 from __future__ import annotations
 
+import os
 import base64
 import heapq
 import unicodedata
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 from quellwerk.session import read_table, spread
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The vocabulary file; another place is named by the environment variable or by the operators' parameter.
+VOCABULARY = os.environ.get("QUELLWERK_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 # Code points of the Unicode property White_Space.
 WHITE_SPACE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -266,21 +268,22 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return spread(source).mapInArrow(run, schema)
 
 
-def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens INT), one row per input row; null and empty texts have 0."""
+def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keep..., n_tokens INT), one row per input row; null and empty texts have 0."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary_bytes(vocabulary))
-    source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    source = df.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("text"))
+    names = ["doc_id", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = encoder(shared.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(len(names)).to_pylist()]
             counts = [np.diff(encode_block(block, merger)[1]) for block in blocks(texts)]
             flat = np.concatenate(counts) if counts else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flat, pa.int32())], ["doc_id", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(flat, pa.int32())], [*names, "n_tokens"])
 
-    key_type = source.schema["doc_id"].dataType.simpleString()
-    return spread(source).mapInArrow(run, f"doc_id {key_type}, n_tokens int")
+    kinds = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in names)
+    return spread(source).mapInArrow(run, f"{kinds}, n_tokens int")
 
 
 def decode_ids(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -303,6 +306,5 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens and documents by source: partial sums are combined before the shuffle."""
-    documents = read_table(spark, sf_dir, "documents")
-    counts = count_tokens(documents)
-    return counts.join(documents.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"))
+    counts = count_tokens(read_table(spark, sf_dir, "documents"), keep=("source",))
+    return counts.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"))
