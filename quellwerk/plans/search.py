@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quellwerk.functions.text import fts_terms
 from quellwerk.operators import evaluate, retrieval
 from quellwerk.plans.registry import query
+from quellwerk.plans.stems import sql_stems
 from quellwerk.plans.tables import SQL_ITEMS, SQL_PATIENTS, SQL_REPORTS, SQL_SECTIONS, patients, qa_items, reports, sections
 from quellwerk.session import cut_lineage, read_table, spread
 
@@ -194,15 +195,16 @@ SEARCH_TERMS = [w.lower() for w in fts_terms(SEARCH_TEXT)]
 def _sql_words_search(table: str, key: str, body: str, extra: str, where: str, out: str) -> str:
     terms = ", ".join(f"'{t}'" for t in SEARCH_TERMS)
     return f"""{out}_d AS (SELECT {key} AS id, {extra}, list_filter(regexp_split_to_array(lower(coalesce({body}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS t FROM {table}),
+    {sql_stems(f"SELECT DISTINCT unnest(t) AS w FROM {out}_d", f"{out}_st")},
     {out}_tot AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM {out}_d WHERE len(t) > 0),
-    {out}_p AS (SELECT id, len(t) AS dl, term, count(*) AS tf FROM (SELECT id, t, unnest(t) AS term FROM {out}_d) WHERE term IN ({terms}) GROUP BY ALL),
+    {out}_p AS (SELECT id, len(t) AS dl, stem AS term, count(*) AS tf FROM (SELECT id, t, unnest(t) AS w FROM {out}_d) JOIN {out}_st USING (w) WHERE stem IN (SELECT stem FROM {out}_st WHERE w IN ({terms})) GROUP BY ALL),
     {out}_df AS (SELECT term, count(*) AS df FROM {out}_p GROUP BY 1),
     {out} AS (SELECT id, {extra}, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
         FROM {out}_p JOIN {out}_df USING (term) JOIN {out}_d USING (id), {out}_tot WHERE {where} GROUP BY ALL)"""
 
 
-def _word_search(docs: DataFrame, key: str, body: str, keep: tuple[str, ...], where, cut=retrieval.cut_words) -> DataFrame:
-    """Any-of word search: statistics over all documents, filters before ranking. Only the question's terms leave the batches."""
+def _word_search(docs: DataFrame, key: str, body: str, keep: tuple[str, ...], where, cut=retrieval.cut_stems) -> DataFrame:
+    """Any-of search of stemmed words: statistics over all documents, filters before ranking. Only the question's terms leave the batches."""
     text = " ".join(SEARCH_TERMS)
     only = np.unique(cut([text])[1])
     filters = tuple(c for c in ("patient_id", "report_type", "report_date") if c in docs.columns)
@@ -217,13 +219,26 @@ _SEC_SQL = _sql_words_search("secs", "section_id", "section_content", "patient_i
 
 @query(f"WITH {SQL_SECTIONS}, {_SEC_SQL} SELECT id, patient_id, score FROM found ORDER BY score DESC, id LIMIT 20")
 def word_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word BM25 with type and date filters (null dates fail them); a top-20 report."""
+    """Stemmed word BM25 with type and date filters (null dates fail them); a top-20 report."""
     docs = sections(spark, sf_dir, "patient_id", "section_content", "report_type", "report_date")
     found = _word_search(docs, "section_id", "section_content", ("patient_id",), F.expr(_SEC_WHERE))
     return found.orderBy(F.desc("score"), "id").limit(20)
 
 
-@query()
+_ASKED_TERMS = """raw AS (SELECT qa_id AS query_id, list_filter(string_split_regex(translate(coalesce(question, ''), chr(39) || '"*(){}[]', '         '), '[\\s\\p{Z}]+'), lambda w: w <> '') AS ws FROM items WHERE qa_id % 20 = 0),
+    kept AS (SELECT query_id, CASE WHEN len(list_filter(ws, lambda w: length(w) > 2)) > 0 THEN list_filter(ws, lambda w: length(w) > 2) ELSE ws END AS ws FROM raw),
+    qw AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(lower(array_to_string(ws, ' ')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS w FROM kept)"""
+
+
+@query(
+    f"""WITH {SQL_SECTIONS}, {SQL_ITEMS}, {_ASKED_TERMS}, d AS (SELECT section_id AS id, report_type, report_date, list_filter(regexp_split_to_array(lower(coalesce(section_content, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS t FROM secs),
+    {sql_stems("SELECT DISTINCT unnest(t) AS w FROM d UNION SELECT w FROM qw", "st")}, qs AS MATERIALIZED (SELECT DISTINCT query_id, stem AS term FROM qw JOIN st USING (w)),
+    tot AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d WHERE len(t) > 0),
+    post AS MATERIALIZED (SELECT id, len(t) AS dl, stem AS term, count(*) AS tf FROM (SELECT id, t, unnest(t) AS w FROM d) JOIN st USING (w) WHERE stem IN (SELECT term FROM qs) GROUP BY ALL),
+    dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+    scored AS (SELECT query_id, id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM qs JOIN post USING (term) JOIN dfs USING (term), tot WHERE id IN (SELECT id FROM d WHERE {_SEC_WHERE}) GROUP BY ALL)
+    SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored WHERE score > 0 QUALIFY rank <= 20"""
+)
 def word_search_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stemmed word BM25 of every question of the stated query set, filters as in word_search; twenty best a question."""
     terms = F.udf(lambda q: " ".join(fts_terms(q or "")), "string")
@@ -246,6 +261,13 @@ def group_topk_per_patient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_k(found, ["patient_id"], 3).select("patient_id", "id", "score", "rank")
 
 
+@query(f"WITH {SQL_REPORTS}, {_sql_words_search('reps', 'report_id', 'content', 'patient_id', 'true', 'found')} SELECT id, patient_id, score FROM found ORDER BY score DESC, id LIMIT 20")
+def report_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stemmed word BM25 over whole reports; a top-20 report."""
+    found = _word_search(reports(spark, sf_dir, "patient_id", "content"), "report_id", "content", ("patient_id",), F.lit(True))
+    return found.orderBy(F.desc("score"), "id").limit(20)
+
+
 _COMBINED = f"""WITH {SQL_SECTIONS}, {SQL_REPORTS}, {_sql_words_search("secs", "section_id", "section_content", "patient_id", "true", "fs")}, {_sql_words_search("reps", "report_id", "content", "patient_id", "true", "fr")},
     both_lists AS ((SELECT 'section' AS level, id, patient_id, score FROM fs ORDER BY score DESC, id LIMIT 10) UNION ALL (SELECT 'report', id, patient_id, score FROM fr ORDER BY score DESC, id LIMIT 10))"""
 
