@@ -102,6 +102,14 @@ def fenced_json(c: Column | str) -> Column:
     return F.when(found != "", found).otherwise(bare)
 
 
+def json_items(c: Column | str, fields: str) -> Column:
+    """The objects of a JSON array, or a single object as a list of one; other values are left out, text that is no JSON gives an empty list."""
+    c = F.trim(F.col(c) if isinstance(c, str) else c)
+    whole = F.when(c.startswith("{"), F.concat(F.lit("["), c, F.lit("]"))).otherwise(c)
+    parts = F.filter(F.from_json(whole, "array<string>"), lambda x: x.startswith("{"))
+    return F.coalesce(F.transform(parts, lambda x: F.from_json(x, fields)), F.array().cast(f"array<struct<{fields.replace(' ', ': ', 1)}>>"))
+
+
 def highlight(content: Column, snippet: Column, open_mark: str = "<mark>", close_mark: str = "</mark>") -> Column:
     """Mark an exact snippet of over 20 characters, else its first ten words if it has five."""
     first = F.array_join(F.slice(words(snippet), 1, 10), " ")

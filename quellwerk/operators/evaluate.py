@@ -46,6 +46,11 @@ def metrics(per_query: DataFrame, by: tuple[str, ...] = (), cuts: tuple[int, ...
     return per_query.groupBy(*by).agg(*columns, F.round(reciprocal_rank(), 6).alias("mrr"))
 
 
+def improvement(score: str, chance: str) -> Column:
+    """A metric relative to that of chance; null where chance is 0."""
+    return F.when(F.col(chance) > 0, F.round(F.col(score) / F.col(chance), 6))
+
+
 def routing_accuracy(ranking: DataFrame, queries: DataFrame) -> DataFrame:
     """Share of all queries whose first result has the gold section's name, in any case."""
     first = ranking.where("rank = 1").select("query_id", F.upper("section_name").alias("found"))

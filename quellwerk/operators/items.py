@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import random
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -35,6 +38,16 @@ def stratified_sample(chunks: DataFrame, stratum: str, per_stratum: int, seed: i
     return ranked.where(F.col("_rank") <= per_stratum).drop("_rank")
 
 
+def generation_sample(chunks: DataFrame, asked: DataFrame, stratum: str, limit: int, seed: int, id_col: str = "section_id") -> DataFrame:
+    """At most `limit` chunks without an item, from each stratum an equal quota, by seeded hash: a sampling operator."""
+    strata = chunks.agg(F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.lit(1), F.count_distinct(stratum)))).alias("_quota"))  # one row
+    free = chunks.join(asked.select(id_col), id_col, "left_anti")
+    order = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
+    ranked = free.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy(order, id_col))).where(F.col("_rank") <= limit)
+    drawn = ranked.join(F.broadcast(strata), F.col("_rank") <= F.col("_quota")).drop("_rank", "_quota")
+    return drawn.orderBy(order, id_col).limit(limit)
+
+
 def span_matches(text: Column, answer: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, end - start) == answer
 
@@ -51,6 +64,7 @@ def validate(items: DataFrame) -> DataFrame:
     outside = ~malformed & ((start < 0) | (end <= start) | (end > F.length(text)))
     differs = ~malformed & ~outside & ~span_matches(text, answer, F.when(outside, 0).otherwise(start), F.when(outside, 0).otherwise(end))
     tags = F.transform(F.coalesce("phenomena", F.array().cast("array<string>")), lambda t: F.lower(t))
+    # The validator's codes.
     rules = [
         (question == "", "empty_question"),
         (~kind.isin(ANSWER_TYPES), "invalid_answer_type"),
@@ -121,20 +135,33 @@ def rerank(candidates: DataFrame, score: Callable[[pd.Series, pd.Series], pd.Ser
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
 
 
-def generate(chunks: DataFrame, generator: Callable[[str], str], id_col: str = "section_id", text_col: str = "section_content", attempts: int = 3) -> DataFrame:
-    """(section_id, raw): a supplied text model asked once per chunk, retried on failure; a chunk that keeps failing gives null."""
+def generate(chunks: DataFrame, generator: Callable[[str], str], id_col: str = "section_id", text_col: str = "section_content", attempts: int = 3, delay: float = 1.0, jitter: float = 0.25, most: int | None = None) -> DataFrame:
+    """(section_id, raw): a supplied text model asked once per chunk; a chunk that keeps failing gives null.
+
+    A failed attempt is repeated after `delay` seconds, a random part of it (`jitter`) more or
+    less. With `most`, a JSON array in an answer keeps its first `most` items.
+    """
+
+    def cut(answer: str) -> str:
+        try:
+            parsed = json.loads(answer)
+        except ValueError:
+            return answer
+        return json.dumps(parsed[:most], ensure_ascii=False) if isinstance(parsed, list) and len(parsed) > most else answer
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for text in batch[text_col]:
                 answer = None
-                for _ in range(attempts):
+                for attempt in range(attempts):
                     try:
                         answer = generator(text)
+                        answer = cut(answer) if most is not None and answer is not None else answer
                         break
                     except Exception:  # noqa: BLE001  any failure of a supplied model is a failed attempt
-                        continue
+                        if attempt + 1 < attempts:
+                            time.sleep(max(0.0, delay * (1 + random.uniform(-jitter, jitter))))
                 out.append(answer)
             yield pd.DataFrame({"section_id": batch[id_col], "raw": out})
 

@@ -336,13 +336,13 @@ def with_zero_scores(ranking: DataFrame, queries: DataFrame, docs: DataFrame, k:
     return ranking.select("query_id", "id", "score", "rank").unionByName(filled)
 
 
-def best_of_batch(names: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int, zero: bool = False) -> pd.DataFrame:
-    """The k best ids of each query (row of scores) by score, ties to the smaller id; no infinite score, and a zero only on demand."""
+def best_of_batch(names: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best ids of each query (row of scores) by score, ties to the smaller id; no infinite score."""
     by_id = np.argsort(ids, kind="stable")
     order = by_id[np.argsort(-scores[:, by_id], axis=1, kind="stable")[:, :k]]
     q = np.repeat(np.arange(len(names)), order.shape[1])
     out = pd.DataFrame({"query_id": names[q], "id": ids[order.ravel()], "score": scores[q, order.ravel()]})
-    return out[np.isfinite(out["score"]) & ((out["score"] != 0) | zero)]
+    return out[np.isfinite(out["score"])]
 
 
 def union_of(parts: list[DataFrame], spark: SparkSession, kinds: str) -> DataFrame:
@@ -352,45 +352,58 @@ def union_of(parts: list[DataFrame], spark: SparkSession, kinds: str) -> DataFra
     return out
 
 
-def dot(a: Column | str, b: Column | str) -> Column:
-    """Dot product of two arrays in double precision; null if one is null."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def finite(embedding: Column | str) -> Column:
     return F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 2048) -> DataFrame:
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 2048, mask: str | None = None, same: Callable[[object], object] = lambda q: q) -> DataFrame:
     """(query_id, id, score, rank): a stated query set against all other finite vectors, in blocks of queries.
 
-    queries: (query_id, embedding); vectors: (id, embedding). Each block, of bounded
-    size, goes to the executors once; a matrix product scores a batch of vectors
-    against it and keeps the k best of each query in the batch, so at most k rows a
-    query and batch are shuffled. A query does not find the vector with its own id.
+    queries: (query_id, embedding, mask); vectors: (id, embedding, mask). Each block, of
+    bounded size, goes to the executors once; a matrix product scores a batch of vectors
+    against it, for each mask value (a subject, or a model of its own dimension) apart,
+    and keeps the k best of each query in the batch, so at most k rows a query and batch
+    are shuffled. A query does not find the vector whose id is same(query_id).
     """
     spark = queries.sparkSession
-    asked = queries.where(finite("embedding")).withColumn("_row", F.monotonically_increasing_id())
-    clean = vectors.where(finite("embedding")).select("id", "embedding")
+    masks = [mask] if mask else []
+    asked = queries.where(finite("embedding"))
+    clean = vectors.where(finite("embedding")).select("id", "embedding", *masks)
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
     hashed = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-asked.count() // block)))))
     parts = []
     for number in sorted(r["_block"] for r in hashed.select("_block").distinct().collect()):
-        rows = hashed.where(F.col("_block") == number).select("query_id", "embedding").toPandas()
-        shared = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), np.stack(rows["embedding"]).astype(np.float64)))
+        rows = hashed.where(F.col("_block") == number).select("query_id", "embedding", *masks).toPandas()
+        groups = {value: (g["query_id"].to_numpy(), np.array([same(q) for q in g["query_id"]]), np.stack(g["embedding"]).astype(np.float64)) for value, g in (rows.groupby(mask) if mask else [(None, rows)])}
+        shared = spark.sparkContext.broadcast(groups)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, matrix = shared.value
             for batch in batches:
-                ids = batch["id"].to_numpy()
-                scores = np.round(matrix @ np.stack(batch["embedding"]).astype(np.float64).T, 6)
-                scores[names[:, None] == ids[None, :]] = -np.inf
-                yield best_of_batch(names, ids, scores, k, zero=True)
+                for value, part in batch.groupby(mask) if mask else [(None, batch)]:
+                    if value in shared.value and len(part):
+                        names, own, matrix = shared.value[value]
+                        ids = part["id"].to_numpy()
+                        scores = np.round(matrix @ np.stack(part["embedding"]).astype(np.float64).T, 6)
+                        scores[own[:, None] == ids[None, :]] = -np.inf
+                        yield best_of_batch(names, ids, scores, k)
 
         parts.append(clean.mapInPandas(run, kinds))
     return top_k(union_of(parts, spark, kinds), ["query_id"], k)
 
 
+def embed(df: DataFrame, text_col: str, model: Callable[[list[str]], np.ndarray], into: str = "embedding") -> DataFrame:
+    """df with a vector of length 1 of each text by a supplied model, a batch at a time; null texts count as empty."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = np.asarray(model(batch[text_col].fillna("").tolist()), np.float32).reshape(len(batch), -1)
+            size = np.linalg.norm(found, axis=1, keepdims=True)
+            yield batch.assign(**{into: list(found / np.where(size > 0, size, 1))})
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInPandas(run, f"{kinds}, {into} array<float>")
+
+
 def random_ranks(pairs: DataFrame, seed: int, query: str = "query_id", item: str = "id") -> DataFrame:
     """A seeded permutation rank (from 1) of each query's items; the same seed gives the same ranks."""
     key = F.md5(F.concat_ws("|", F.col(query).cast("string"), F.col(item).cast("string"), F.lit(str(seed))))

@@ -92,6 +92,24 @@ def unique_names(df: DataFrame, name: str, order: list[Column], mark: str = "_",
     return joined.select(*df.columns, into).unionByName(df.where(F.col(name).isNull()).withColumn(into, F.lit(None).cast("string")).select(*df.columns, into))
 
 
+def pending(everything: DataFrame, accepted: DataFrame, extras: DataFrame, key: str) -> DataFrame:
+    """Rows of everything whose key is neither accepted nor set aside."""
+    return everything.join(accepted.select(key), key, "left_anti").join(extras.select(key), key, "left_anti")
+
+
+def review_filter(df: DataFrame, score: str, least: float, pattern: str, columns: list[str], name: str, part: str) -> DataFrame:
+    """Rows of at least a score whose lower-cased columns match a pattern, and whose name holds a part; a null matches nothing."""
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.coalesce(F.lower(c).rlike(pattern.lower()), F.lit(False))
+    return df.where((F.col(score) >= least) & hit & F.lower(name).contains(part.lower()))
+
+
+def exists(df: DataFrame, condition: Column) -> bool:
+    """Whether any row fulfils a condition; one row is looked for, none are counted."""
+    return not df.where(condition).isEmpty()
+
+
 def nameless(first: str = "firstname", last: str = "lastname") -> Column:
     """Both names null, empty or one blank."""
     blank = lambda c: F.col(c).isNull() | F.col(c).isin("", " ")

@@ -1 +1 @@
-from quellwerk.plans import corpus, items, search, values  # noqa: F401  register their queries
+from quellwerk.plans import answers, compare, corpus, items, search, values  # noqa: F401  register their queries

@@ -250,15 +250,43 @@ def sections_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("report_id", "section_order", F.col("s.name").alias("section_name"), F.col("s.body").alias("body"))
 
 
-@query()
+# The fold over the sections of a report, a step for each; n: words of a section.
+_MERGED = f"""{_EXTRACT}, parts_n AS (SELECT report_id, row_number() OVER (PARTITION BY report_id ORDER BY i) AS k, name, p AS body, {sql_word_count('p')} AS n FROM filled WHERE NOT is_head AND coalesce(name, '') <> ''),
+    fold(report_id, k, names, bodies, is_open, held) AS (
+        SELECT DISTINCT report_id, 0::BIGINT, []::VARCHAR[], []::VARCHAR[], false, 0::BIGINT FROM parts_n
+        UNION ALL
+        SELECT f.report_id, p.k,
+            CASE WHEN len(names) > 0 AND (is_open OR n < 50) THEN names ELSE list_append(names, name) END,
+            CASE WHEN len(names) > 0 AND (is_open OR n < 50) THEN list_append(bodies[1:len(bodies) - 1], bodies[-1] || chr(10) || chr(10) || '## ' || name || ':' || chr(10) || body)
+                WHEN len(names) = 0 AND n < 50 THEN ['## ' || name || ':' || chr(10) || body] ELSE list_append(bodies, body) END,
+            CASE WHEN len(names) = 0 THEN n < 50 WHEN is_open THEN held + n < 50 ELSE false END,
+            CASE WHEN len(names) = 0 AND n < 50 THEN n WHEN is_open THEN held + n ELSE 0 END
+        FROM fold f JOIN parts_n p ON p.report_id = f.report_id AND p.k = f.k + 1),
+    folded AS (SELECT * FROM fold f WHERE k = (SELECT max(k) FROM parts_n p WHERE p.report_id = f.report_id)),
+    merged AS (SELECT report_id, unnest(range(len(names))) AS section_order, unnest(names) AS name, unnest(bodies) AS body FROM folded)"""
+
+
+@query(f"WITH RECURSIVE {SQL_REPORTS}, {_MERGED} SELECT report_id, section_order, name AS section_name, body FROM merged")
 def sections_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = reports(spark, sf_dir, "content").select("report_id", F.posexplode(merge_small(extract_sections("content"))).alias("section_order", "s"))
     return df.select("report_id", "section_order", F.col("s.name").alias("section_name"), F.col("s.body").alias("body"))
 
 
-@query()
+_CHUNKS = f"""{_MERGED}, kept AS (SELECT * FROM reps WHERE lower(coalesce(report_type, '')) <> 'labor' AND regexp_matches(coalesce(content, ''), '[^\\s\\x0b\\x85\\p{{Z}}]')),
+    whole AS (SELECT k.report_id, 0 AS section_order, 'Full report' AS name, content AS body FROM kept k ANTI JOIN merged m USING (report_id)),
+    every AS (SELECT m.* FROM merged m SEMI JOIN kept USING (report_id) UNION ALL SELECT * FROM whole),
+    worded AS (SELECT *, {sql_words('body')} AS w FROM every),
+    cut_up AS (SELECT *, unnest(CASE WHEN len(w) <= 350 THEN [0] ELSE list_filter(range(0, len(w), 300), lambda s: s = 0 OR s < len(w) - 50) END) AS s FROM worded),
+    pieces AS (SELECT *, s // 300 AS chunk_index, CASE WHEN len(w) <= 350 THEN body ELSE array_to_string(w[s + 1 : s + 350], ' ') END AS text FROM cut_up)"""
+
+
+@query(
+    f"""WITH RECURSIVE {SQL_REPORTS}, {_CHUNKS} SELECT p.report_id || '_sec_' || lpad(CAST((section_order + 1) * 1000 + chunk_index AS VARCHAR), CAST(greatest(3, length(CAST((section_order + 1) * 1000 + chunk_index AS VARCHAR))) AS INT), '0') || '_' || left(regexp_replace(name, '[^A-Za-z0-9]+', '_', 'g'), 30) AS section_id,
+    p.report_id, k.patient_id, CASE WHEN len(w) > 350 THEN name || ' (part ' || (chunk_index + 1) || ')' ELSE name END AS section_name, text AS section_content, section_order + 1 AS section_order, chunk_index, {sql_word_count('text')} AS word_count,
+    k.filename, k.report_type, CAST(k.report_date AS VARCHAR) AS report_date, CAST(k.created_at AS VARCHAR) AS created_at, k.source_path FROM pieces p JOIN kept k USING (report_id)"""
+)
 def report_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_chunks(reports(spark, sf_dir))
+    return build_chunks(reports(spark, sf_dir)).withColumns({c: F.col(c).cast("string") for c in ("report_date", "created_at")})
 
 
 @query(
@@ -271,7 +299,10 @@ def overlap_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", F.posexplode(overlap_windows(F.col("text"))).alias("chunk_index", "chunk"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SQL_REPORTS}, {_MERGED}, stages AS (SELECT 'original' AS stage, n AS words FROM parts_n UNION ALL SELECT 'merged', {sql_word_count('body')} FROM merged)
+    SELECT stage, count(*) AS sections, round(avg(words), 6) AS mean_words, median(words) AS median_words, max(words) AS max_words, count(*) FILTER (words < 50) AS small FROM stages GROUP BY 1"""
+)
 def merge_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections before and after merging: how many, and their words."""
     df = reports(spark, sf_dir, "content").select(extract_sections("content").alias("a")).select("a", merge_small(F.col("a")).alias("b"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,6 +15,8 @@ from quellwerk.functions.names import porter_stem
 from quellwerk.functions.text import fts_terms, words
 from quellwerk.operators import retrieval
 from quellwerk.session import cut_lineage
+from quellwerk.sources import files
+from quellwerk.streaming import sessions
 
 
 @dataclass
@@ -79,6 +83,24 @@ def answer_prompt(template: str, context: Column, question: Column) -> Column:
     return F.replace(F.replace(F.lit(template), F.lit("{context}"), context), F.lit("{question}"), question)
 
 
+def document_url(report: Column, section: Column) -> Column:
+    """A link to a report, or to its section."""
+    return F.concat(F.lit("#/document/"), report, F.coalesce(F.concat(F.lit("/section/"), section), F.lit("")))
+
+
+def context_block(number: Column, report: Column, section: Column, date: Column, path: Column, score: Column, text: Column) -> Column:
+    """A hit as a numbered header and its text; the date is that of the path if it names one."""
+    named = F.nullif(F.regexp_extract(path, r"\d{1,2}\.\d{1,2}\.20\d{2}", 0), F.lit(""))
+    shown = F.coalesce(named, date.cast("string"), F.lit("Unbekanntes Datum"))
+    points = F.when(score > 0, F.format_string("BM25: %.3f", score)).otherwise("Score: N/A")
+    body = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.concat(F.lit("["), number.cast("string"), F.lit("] Bericht: "), report, F.lit(" | Abschnitt: "), F.coalesce(section, F.lit("")), F.lit(" | Datum: "), shown, F.lit(" | "), points, F.lit("\n"), body)
+
+
+def citation(kind: Column, section: Column, date: Column) -> Column:
+    return F.concat(F.lit("["), F.coalesce(kind, F.lit("")), F.coalesce(F.concat(F.lit(" - "), section), F.lit("")), F.lit(" • "), F.coalesce(F.date_format(date, "dd.MM.yyyy"), F.lit("")), F.lit("]"))
+
+
 def index_version(level: str, k: int, group: bool) -> str:
     return f"quellwerk-{level}-{k}" + ("-group" if group else "")
 
@@ -129,4 +151,35 @@ class Engine:
             return self.search_sections(request)
         if request.level == "reports":
             return self.search_reports(request)
+        if request.level != "combined":
+            raise ValueError(f"no level {request.level}")
         return retrieval.combine(self.search_sections(request), self.search_reports(request), request.k)
+
+    def answer(self, request: SearchRequest, generator: Callable[[str], str], template: str, empty: str = "{question}") -> dict:
+        """Search, prompt and a supplied model's answer: status ok, insufficient (no hit) or error, citations, latencies in whole milliseconds.
+
+        At most k hits come to the driver. Without a hit the model gets the `empty` template.
+        """
+        began = time.monotonic()
+        hits = [r.asDict() for r in self.search(request).collect()]
+        found = time.monotonic()
+        group = not request.patient_id and len(request.patient_ids) > 1
+        context = "\n\n".join(f"[{i}] {('Patient: ' + h['patient_id'] + ' | ') if group and h.get('patient_id') else ''}{h['id']}\n{h.get('snippet') or ''}" for i, h in enumerate(hits, 1))
+        warnings = [] if hits else ["no relevant documents"]
+        try:
+            text = generator((template if hits else empty).replace("{context}", context).replace("{question}", request.text))
+            status = "ok" if hits else "insufficient"
+        except Exception as error:  # noqa: BLE001  any failure of a supplied model is an answer of its own
+            text, status, warnings = str(error), "error", [*warnings, "the model failed"]
+        done = time.monotonic()
+        latency = {"retrieval": round((found - began) * 1000), "generation": round((done - found) * 1000), "total": round((done - began) * 1000)}
+        return {"status": status, "text": text, "cited": [h["id"] for h in hits] if status != "error" else [], "warnings": warnings, "index_version": index_version(request.level, request.k, group), "latency": latency}
+
+    def log(self, entries: DataFrame, folder: str) -> None:
+        """Append session entries to the nested log and to the flat one."""
+        files.append_json(entries, f"{folder}/json")
+        files.append_csv(sessions.flatten(entries), f"{folder}/csv")
+
+    def sessions(self, folder: str) -> DataFrame:
+        """The logged entries."""
+        return files.read_sessions(self.spark, f"{folder}/json")

@@ -29,12 +29,13 @@ def scan_reports(spark: SparkSession, base: str, ignored: tuple[str, ...] = ())
     return kept.withColumn("content", F.coalesce(parsed, F.col("content")))
 
 
-def read_roster(spark: SparkSession, path: str) -> DataFrame:
-    """patients rows of a roster CSV: headers and values stripped, missing columns empty, the later row of an id wins."""
+def read_roster(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:
+    """patients rows of a roster CSV: headers and values stripped, missing columns empty unless required, the later row of an id wins."""
     raw = spark.read.csv(path, header=True, quote='"')
     names = {c.strip().lower(): c for c in raw.columns}
-    if "id" not in names:
-        raise ValueError("the roster has no id column")
+    missing = [c for c in ("id", *required) if c not in names]
+    if missing:
+        raise ValueError(f"the roster has no column {', '.join(missing)}")
     value = lambda c: F.trim(F.coalesce(F.col(f"`{names[c]}`"), F.lit(""))) if c in names else F.lit("")
     rows = raw.select(value("id").alias("patient_id"), value("firstname").alias("firstname"), value("name").alias("lastname"), value("birthdate").alias("dob"), F.monotonically_increasing_id().alias("_row"))
     rows = latest(rows.where("patient_id != ''"), ["patient_id"], [F.col("_row").desc()]).drop("_row")
@@ -64,8 +65,15 @@ def rename_plan(audit: DataFrame) -> DataFrame:
 
 
 def read_tables(spark: SparkSession, names: dict[str, str]) -> dict[str, DataFrame]:
-    """Tables by catalog name or, where the catalog has none, by path."""
-    return {k: spark.table(v) if spark.catalog.tableExists(v) else spark.read.parquet(v) for k, v in names.items()}
+    """Tables by catalog name (of an attached catalog first: `a.b` falls back to `b`) or, where none has them, by path."""
+
+    def find(name: str) -> DataFrame:
+        for candidate in dict.fromkeys([name, name.split(".")[-1]]):
+            if "/" not in candidate and spark.catalog.tableExists(candidate):
+                return spark.table(candidate)
+        return spark.read.parquet(name)
+
+    return {k: find(v) for k, v in names.items()}
 
 
 def preview(spark: SparkSession, table: str, rows: int = 10) -> DataFrame:
@@ -75,6 +83,11 @@ def preview(spark: SparkSession, table: str, rows: int = 10) -> DataFrame:
     return spark.table(table).limit(rows)
 
 
+def browse(spark: SparkSession, statement: str, tables: dict[str, DataFrame], rows: int = 1000) -> DataFrame:
+    """A statement over {named} tables, at most `rows` rows: a browser's limit is its purpose."""
+    return spark.sql(statement, **tables).limit(rows)
+
+
 def embeddings_long(chunks: DataFrame, id_col: str = "section_id", prefix: str = "embedding_") -> DataFrame:
     """(section_id, model, embedding) of a table with one embedding column per model; vectors that are not finite left out."""
     from quellwerk.operators.retrieval import finite
@@ -93,6 +106,24 @@ def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def write_metrics(df: DataFrame, path: str) -> None:
+    """One row of metrics as a JSON file on the driver's side of the folder."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_audit(df: DataFrame, folder: str, moment: str) -> str:
+    """An audit list as CSV under a name that holds the moment; the name."""
+    path = f"{folder.rstrip('/')}/audit_{moment}"
+    df.write.mode("errorifexists").option("header", "true").csv(path)
+    return path
+
+
+def log_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, size, modified, content) of the log files of a folder."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{json,jsonl,csv}").load(folder)
+    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.col("content").cast("string").alias("content"))
+
+
 def append_csv(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", "true").csv(path)
 
