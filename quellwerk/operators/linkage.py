@@ -9,12 +9,14 @@ after.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quellwerk.functions.dates import birth_date
 from quellwerk.functions.names import fold, fuzzy_ratio
+from quellwerk.session import cut_lineage
 
+# The forms of name pairs and of birth dates in texts.
 NAME_PAIR = r"\b([A-ZÄÖÜ][A-Za-zÄÖÜäöüß']+)\s+([A-ZÄÖÜ][A-Za-zÄÖÜäöüß']+)\b"
 GERMAN_DATE = r"\b[0-3]?\d[.][0-1]?\d[.](?:19|20)\d{2}\b"
 CAP, DOB, FULL, LAST, FIRST, NEAR = 1.5, 1.0, 0.8, 0.5, 0.3, 90.0
@@ -39,18 +41,35 @@ def signals(files: DataFrame, id_col: str, text_col: str, lines: int = 120, befo
 
 
 def candidates(found: DataFrame, roster: DataFrame) -> DataFrame:
-    """(file_id, patient_id), distinct: pairs that can score above zero. roster: (patient_id, first, last, dob), folded."""
+    """(file_id, patient_id), distinct: pairs among which each file's best is. roster: (patient_id, first, last, dob), folded.
+
+    Of the patients with a birth date only the least id is paired with the files of that
+    date, as another one can be better by its name only, and is then found by the name.
+    Surnames are looked for in the distinct names of all files.
+    """
     people = roster.where(F.col("patient_id").isNotNull())
-    by_dob = found.select("file_id", F.explode("dobs").alias("dob")).distinct().join(people.where(F.col("dob").isNotNull()).select("patient_id", "dob"), "dob").select("file_id", "patient_id")
+    born = people.where(F.col("dob").isNotNull()).groupBy("dob").agg(F.min("patient_id").alias("patient_id"))
+    by_dob = found.select("file_id", F.explode("dobs").alias("dob")).distinct().join(born, "dob").select("file_id", "patient_id")
     names = found.select("file_id", F.explode("names").alias("name")).distinct()
-    by_name = names.join(people.select("patient_id", F.concat_ws(" ", "first", "last").alias("name")), "name").select("file_id", "patient_id")
+    vocabulary = cut_lineage(names.select("name").distinct())
+    full = people.select("patient_id", F.concat_ws(" ", "first", "last").alias("name")).join(vocabulary, "name").select("name", "patient_id")
     grams = lambda c: F.expr(f"transform(sequence(1, greatest(length({c}) - 2, 1)), i -> substring({c}, i, 3))")
-    in_files = names.select("file_id", "name", F.explode(F.array_distinct(grams("name"))).alias("gram"))
-    counts = in_files.groupBy("gram").agg(F.count("*").alias("n"))
-    of_last = people.where(F.length("last") > 0).select("patient_id", "last", F.explode(F.array_distinct(grams("last"))).alias("gram"))
+    in_names = vocabulary.select("name", F.explode(F.array_distinct(grams("name"))).alias("gram"))
+    counts = in_names.groupBy("gram").agg(F.count("*").alias("n"))
+    of_last = people.where(F.length("last") > 2).select("patient_id", "last", F.explode(F.array_distinct(grams("last"))).alias("gram"))
     rarest = of_last.join(counts, "gram", "left").groupBy("patient_id", "last").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    by_last = in_files.join(rarest, "gram").where(F.col("name").contains(F.col("last"))).select("file_id", "patient_id")
-    return by_dob.unionAll(by_name).unionAll(by_last).distinct()
+    last = in_names.join(rarest, "gram").where(F.col("name").contains(F.col("last"))).select("name", "patient_id")
+    short = people.where((F.length("last") > 0) & (F.length("last") < 3)).select("patient_id", F.col("last").alias("gram"))
+    if not short.isEmpty():  # surnames under three characters have no gram of their own
+        last = last.unionAll(vocabulary.select("name", F.explode(F.array_distinct(short_runs("name"))).alias("gram")).join(short, "gram").select("name", "patient_id"))
+    by_name = names.join(full.unionAll(last).distinct(), "name").select("file_id", "patient_id")
+    return by_dob.unionAll(by_name).distinct()
+
+
+def short_runs(name: str) -> Column:
+    """All runs of one and two characters."""
+    run = lambda n: F.expr(f"transform(sequence(1, greatest(length({name}) - {n - 1}, 1)), i -> substring({name}, i, {n}))")
+    return F.concat(run(1), run(2))
 
 
 def score_pairs(pairs: DataFrame, found: DataFrame, roster: DataFrame) -> DataFrame:
@@ -59,7 +78,11 @@ def score_pairs(pairs: DataFrame, found: DataFrame, roster: DataFrame) -> DataFr
     full = F.array_contains("names", F.concat_ws(" ", "first", "last"))
     last = (F.length("last") > 0) & F.exists("names", lambda n: n.contains(F.col("last")))
     tokens = rows.where(last & ~full).select("file_id", "patient_id", "first", F.explode(F.array_distinct(F.flatten(F.transform("names", lambda n: F.split(n, " "))))).alias("token"))
-    near = tokens.where(fuzzy_ratio("token", "first") >= NEAR).select("file_id", "patient_id", F.lit(True).alias("near")).distinct()
+    # A ratio of NEAR leaves few insertions and deletions: lengths are close, and words of under twenty characters together share an end.
+    sizes = F.length("token") + F.length("first")
+    close = F.abs(F.length("token") - F.length("first")) <= sizes * (1 - NEAR / 100) + 1e-9
+    ends = (F.substring("token", 1, 1) == F.substring("first", 1, 1)) | (F.expr("right(token, 1)") == F.expr("right(first, 1)")) | (sizes >= 20)
+    near = tokens.where(close & ends).where(fuzzy_ratio("token", "first") >= NEAR).select("file_id", "patient_id", F.lit(True).alias("near")).distinct()
     scored = rows.select("file_id", "patient_id", F.array_contains("dobs", F.col("dob")).alias("d"), full.alias("f"), last.alias("l")).join(near, ["file_id", "patient_id"], "left")
     points = F.when(F.col("d"), DOB).otherwise(0.0) + F.when(F.col("f"), FULL).when(F.col("l"), LAST + F.when(F.col("near"), FIRST).otherwise(0.0)).otherwise(0.0)
     return scored.select("file_id", "patient_id", F.round(F.least(points, F.lit(CAP)), 6).alias("score"))
@@ -67,7 +90,8 @@ def score_pairs(pairs: DataFrame, found: DataFrame, roster: DataFrame) -> DataFr
 
 def best_matches(files: DataFrame, roster: DataFrame, id_col: str, text_col: str, before: tuple[str, ...] = ()) -> DataFrame:
     """(file_id, patient_id, score): the best patient of each file, ties to the smaller id; files without a match have score 0."""
-    found = signals(files, id_col, text_col, before=before)
+    found = cut_lineage(signals(files, id_col, text_col, before=before))  # names are folded once
+    roster = cut_lineage(roster)
     scored = score_pairs(candidates(found, roster), found, roster).where("score > 0")
     order = Window.partitionBy("file_id").orderBy(F.col("score").desc(), "patient_id")
     best = scored.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")

@@ -1,20 +1,5 @@
-"""Logical schemas of the engine's tables."""
+"""The schema of session log entries."""
 
-
-
-ROSTER = "id STRING, firstname STRING, name STRING, birthdate STRING"
-PATIENTS = "patient_id STRING, firstname STRING, lastname STRING, fullname STRING, dob STRING, created_at TIMESTAMP"
-REPORTS = "report_id STRING, patient_id STRING, filename STRING, report_type STRING, report_date DATE, created_at TIMESTAMP, source_path STRING, sha256 STRING, content STRING"
-CHUNKS = (
-    "section_id STRING, report_id STRING, patient_id STRING, section_name STRING, section_content STRING, section_order INT, chunk_index INT, word_count INT, "
-    "filename STRING, report_type STRING, report_date DATE, created_at TIMESTAMP, source_path STRING"
-)
-EMBEDDINGS = "section_id STRING, model STRING, embedding ARRAY<FLOAT>"
-QA_ITEMS = (
-    "qa_id BIGINT, section_id STRING, report_id STRING, section_name STRING, chunk_index INT, question STRING, answer_text STRING, start_char INT, end_char INT, answer_type STRING, "
-    "phenomena ARRAY<STRING>, difficulty STRING, generator_model STRING, prompt_version STRING, valid_offsets BOOLEAN, validation_status STRING, validation_errors ARRAY<STRING>, created_at TIMESTAMP"
-)
-RAW_ITEM = "question STRING, answer_type STRING, answer_text STRING, difficulty STRING, start_char INT, end_char INT, phenomena ARRAY<STRING>"
 SESSION_LOG = (
     "timestamp STRING, session_id STRING, query_type STRING, patient STRUCT<id: STRING, name: STRING, dob: STRING>, "
     "`group` STRUCT<id: STRING, name: STRING, patient_count: INT, patients: ARRAY<STRUCT<id: STRING, name: STRING, dob: STRING>>>, "

@@ -233,6 +233,13 @@ def test_linkage(spark):
     assert got["none"] == (None, 0.0) and got["null"] == (None, 0.0)
 
 
+def test_linkage_finds_short_surnames_and_ties(spark):
+    people = [("P3", "anna", "li", None), ("P2", "eva", "roth", "1960-07-03"), ("P1", "otto", "zimmer", "1960-07-03"), ("P4", "eva", "roth", "1961-01-01")]
+    roster = spark.createDataFrame(people, "patient_id string, first string, last string, dob string").withColumn("dob", F.col("dob").cast("date"))
+    texts = spark.createDataFrame([("short", "von Anna Li"), ("tie", "geb. 03.07.1960"), ("both", "Eva Roth, 03.07.1960"), ("other", "Eva Roth, 01.01.1961")], "f string, t string")
+    assert {r["file_id"]: (r["patient_id"], r["score"]) for r in linkage.best_matches(texts, roster, "f", "t").collect()} == {"short": ("P3", 0.8), "tie": ("P1", 1.0), "both": ("P2", 1.5), "other": ("P4", 1.5)}
+
+
 def test_linkage_reads_whole_files(spark):
     roster = spark.createDataFrame([("P1", "anna", "berg", "1960-07-03")], "patient_id string, first string, last string, dob string").withColumn("dob", F.col("dob").cast("date"))
     late = "\n".join(["zeile"] * 130)
