@@ -40,11 +40,11 @@ def _section_index(spark: SparkSession, sf_dir: str, *columns: str, cut=retrieva
     return cut_lineage(retrieval.search_index(spread(sections(spark, sf_dir, "section_content", *columns)), "section_id", "section_content", cut, columns))
 
 
-def asked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, gold_id, question, gold_name, phenomena, patient_id) of the stated query set; the patient is that of the gold section."""
+def asked_items(spark: SparkSession, sf_dir: str, owner_col: str = "patient_id") -> DataFrame:
+    """(query_id, gold_id, question, gold_name, phenomena, patient_id) of the stated query set; the patient (or report) is that of the gold section."""
     items = qa_items(spark, sf_dir, "section_id", "question", "section_name", "phenomena").where("qa_id % 20 = 0")
-    owner = sections(spark, sf_dir, "patient_id").select("section_id", "patient_id")
-    return items.join(owner, "section_id", "left").select(F.col("qa_id").alias("query_id"), F.col("section_id").alias("gold_id"), "question", F.col("section_name").alias("gold_name"), "phenomena", "patient_id")
+    owner = sections(spark, sf_dir, owner_col).select("section_id", owner_col)
+    return items.join(owner, "section_id", "left").select(F.col("qa_id").alias("query_id"), F.col("section_id").alias("gold_id"), "question", F.col("section_name").alias("gold_name"), "phenomena", owner_col)
 
 
 _ALL = f"""WITH {SQL_SECTIONS}, {SQL_ITEMS}, {_GLOBAL}, positive AS MATERIALIZED (SELECT query_id, id, round(sum({_WEIGHT}), 6) AS score FROM (SELECT query_id, term FROM qg) JOIN post USING (term) JOIN dfs USING (term), tot GROUP BY ALL),
@@ -76,13 +76,13 @@ def _sql_metrics() -> str:
     return ", ".join([*parts, "round(avg(coalesce(1 / (first_rank + 1), 0)), 6) AS mrr"])
 
 
-def _patient_ranking(spark: SparkSession, sf_dir: str, k: int = 20) -> tuple[DataFrame, DataFrame]:
-    """The questions, and the k best sections of each one's patient; statistics of the whole collection, sections that score 0 rank last."""
-    asked = cut_lineage(asked_items(spark, sf_dir))
-    queries = asked.select("query_id", F.col("question").alias("text"), "patient_id")
-    index = _section_index(spark, sf_dir, "patient_id")
-    ranking = cut_lineage(retrieval.bm25_search(index, queries, k, mask="patient_id"))
-    ranking = retrieval.with_zero_scores(ranking, queries, index.select("id", "patient_id").where("patient_id is not null"), k, "patient_id")
+def _patient_ranking(spark: SparkSession, sf_dir: str, k: int = 20, mask: str = "patient_id") -> tuple[DataFrame, DataFrame]:
+    """The questions, and the k best sections of each one's patient (or report); statistics of the whole collection, sections that score 0 rank last."""
+    asked = cut_lineage(asked_items(spark, sf_dir, mask))
+    queries = asked.select("query_id", F.col("question").alias("text"), mask)
+    index = _section_index(spark, sf_dir, mask)
+    ranking = cut_lineage(retrieval.bm25_search(index, queries, k, mask=mask))
+    ranking = retrieval.with_zero_scores(ranking, queries, index.select("id", mask).where(F.col(mask).isNotNull()), k, mask)
     return asked, ranking.join(asked.select("query_id", "gold_id"), "query_id").withColumn("relevant", F.col("id") == F.col("gold_id"))
 
 
@@ -93,6 +93,13 @@ def eval_bm25_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.metrics(evaluate.judged(ranking, asked))
 
 
+@query(f"WITH {SQL_SECTIONS}, {SQL_ITEMS}, {_GLOBAL.replace('patient_id', 'report_id')}, {_MASKED.replace('patient_id', 'report_id')} SELECT {_sql_metrics()} FROM judged")
+def eval_bm25_same_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of the gold section's report, statistics of the whole collection."""
+    asked, ranking = _patient_ranking(spark, sf_dir, mask="report_id")
+    return evaluate.metrics(evaluate.judged(ranking, asked))
+
+
 @query(f"WITH {SQL_SECTIONS}, {SQL_ITEMS}, {_GLOBAL}, {_MASKED} SELECT upper(trim(gold_name)) AS section_name, count(*) AS queries, round(avg(coalesce(CAST(first_rank < 10 AS INT), 0)), 6) AS recall_10 FROM judged GROUP BY 1")
 def eval_recall_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, ranking = _patient_ranking(spark, sf_dir)

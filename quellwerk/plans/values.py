@@ -64,7 +64,19 @@ def birth_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("patient_id", dates.birth_date("t").cast("string").alias("birth_date"), dates.german_text("t").alias("shown"))
 
 
-@query()
+def _sql_fold(c: str) -> str:
+    return f"trim(lower(regexp_replace(strip_accents({c}), '[^\\x00-\\x7F]', '', 'g')))"
+
+
+# The longest common subsequence row by row: rows[j] is its length for the first j characters of b.
+_LCS = """list_reduce(list_concat([list_transform(range(length(b) + 1), lambda j: 0::BIGINT)], list_transform(range(length(a)), lambda i: [ascii(substr(a, i + 1, 1))::BIGINT])),
+    lambda row, x: list_transform(range(len(row)), lambda j: greatest(row[j + 1], coalesce(list_max(list_transform(range(1, j + 1), lambda i: CASE WHEN ascii(substr(b, i, 1)) = x[1] THEN row[i] + 1 ELSE 0 END)), 0))))[-1]"""
+
+
+@query(
+    f"""WITH {SQL_PATIENTS}, f AS (SELECT patient_id, trim(nfc_normalize(fullname)) AS composed, {_sql_fold('fullname')} AS folded, {_sql_fold('firstname')} AS a, {_sql_fold('lastname')} AS b FROM pats)
+    SELECT patient_id, composed, folded, CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN length(a) + length(b) = 0 THEN 100.0 ELSE 200.0 * ({_LCS}) / (length(a) + length(b)) END AS ratio FROM f"""
+)
 def folded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = patients(spark, sf_dir)
     return df.select("patient_id", compose("fullname").alias("composed"), fold("fullname").alias("folded"), fuzzy_ratio(fold("firstname"), fold("lastname")).alias("ratio"))

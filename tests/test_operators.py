@@ -174,6 +174,15 @@ def test_block_search_by_brute_force(spark, own, floor, words, block):
         assert [ranked.get((q, n)) for n in range(1, 5)][: len(pool)] == [i for _, i in pool] and (q, len(pool) + 1) not in ranked
 
 
+def test_an_index_is_written_once_and_read_again(spark, tmp_path):
+    docs = spark.createDataFrame([("d0", "abcd"), ("d1", "abce")], "id string, t string")
+    index = retrieval.search_index(docs, "id", "t")
+    index.write.parquet(str(tmp_path / "index"))
+    asked = spark.createDataFrame([(1, "abcd")], "query_id int, text string")
+    again = retrieval.bm25_search(spark.read.parquet(str(tmp_path / "index")), asked, 5)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, retrieval.bm25_search(index, asked, 5).collect()))
+
+
 def test_grams_of_lists_equal_those_of_texts():
     texts = [None, "", "a", "Ab", "!!", "Öl-X", "a" * 700, "Ab  c!", "ßä", *("".join(random.Random(i).choices("aÄ ß-9_İ", k=i)) for i in range(40))]
     rows, codes, tfs, sizes = retrieval.cut_grams(texts)
