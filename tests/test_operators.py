@@ -174,6 +174,23 @@ def test_block_search_by_brute_force(spark, own, floor, words, block):
         assert [ranked.get((q, n)) for n in range(1, 5)][: len(pool)] == [i for _, i in pool] and (q, len(pool) + 1) not in ranked
 
 
+@pytest.mark.parametrize("mask", [None, "g"])
+def test_a_task_passes_on_the_best_only(spark, monkeypatch, mask):
+    monkeypatch.setattr(retrieval, "_SCORES_AT_ONCE", 10)  # one document at a time, under k
+    passed, top_k = [], retrieval.top_k
+    monkeypatch.setattr(retrieval, "top_k", lambda found, *a: passed.append(found) or top_k(found, *a))
+    rng = random.Random(5)
+    docs = [(f"d{i:03d}", "x", " ".join(rng.choice(WORDS) for _ in range(4)) if i % 3 else "milz leber") for i in range(90)]
+    queries = [(q, "x", text) for q, text in enumerate(["milz", "leber milz", "gicht zyste", "hilus", "befund ödem"])]
+    index = retrieval.search_index(spark.createDataFrame(docs, "id string, g string, t string").coalesce(1), "id", "t", keep=("g",))
+    best = retrieval.bm25_search(index, spark.createDataFrame(queries, "query_id int, g string, text string"), 4, mask=mask).collect()
+    wanted = brute_bm25(docs, queries, retrieval.grams_of, False, False)
+    for q, _, _ in queries:
+        first = sorted((-s, i) for (p, i), s in wanted.items() if p == q)[:4]  # many documents are equal, so ties reach past k
+        assert [r["id"] for r in sorted(best, key=lambda r: r["rank"]) if r["query_id"] == q] == [i for _, i in first]
+    assert passed[0].count() <= 4 * len(queries)
+
+
 def test_an_index_is_written_once_and_read_again(spark, tmp_path):
     docs = spark.createDataFrame([("d0", "abcd"), ("d1", "abce")], "id string, t string")
     index = retrieval.search_index(docs, "id", "t")
