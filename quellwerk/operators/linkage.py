@@ -1,15 +1,16 @@
 """Linking of files to a roster by birth dates and names, without comparing every file with every patient.
 
 A pair scores above zero only by an equal birth date, an equal folded full name, or
-the folded last name inside the file's folded names. The first two are equi-joins;
-for the third, names are cut into tokens and every run of three characters of the
-last name must occur, so its rarest gram is the join key, and containment is checked
-after.
+the folded last name inside the file's folded names. Patients that score alike by one
+of these are one class, of which only the least id can be a file's best, so a file
+meets a patient for each date or name, not all who share them. Last names are looked
+for in the distinct names of all files: every run of three characters of the last
+name must occur, so its rarest gram is the join key, and containment is checked after.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quellwerk.functions.dates import birth_date
@@ -40,30 +41,74 @@ def signals(files: DataFrame, id_col: str, text_col: str, lines: int = 120, befo
     return joined.select("file_id", F.array_distinct(F.filter(F.split("n", "\n"), lambda x: x != "")).alias("names"), "dobs")
 
 
+def grams(c: str) -> Column:
+    """All distinct runs of three characters; a shorter text is its own."""
+    return F.array_distinct(F.expr(f"transform(sequence(1, greatest(length({c}) - 2, 1)), i -> substring({c}, i, 3))"))
+
+
+def surnames_in(vocabulary: DataFrame, lasts: DataFrame) -> DataFrame:
+    """(name, last): the last names inside each name, both distinct."""
+    in_names = vocabulary.select("name", F.explode(grams("name")).alias("gram"))
+    counts = in_names.groupBy("gram").agg(F.count("*").alias("n"))
+    of_last = lasts.where(F.length("last") > 2).select("last", F.explode(grams("last")).alias("gram"))
+    rarest = of_last.join(counts, "gram", "left").groupBy("last").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    found = in_names.join(rarest, "gram").where(F.col("name").contains(F.col("last"))).select("name", "last")
+    short = lasts.where((F.length("last") > 0) & (F.length("last") < 3))
+    if not short.isEmpty():  # surnames under three characters have no gram of their own
+        found = found.unionAll(vocabulary.select("name", F.explode(F.array_distinct(short_runs("name"))).alias("last")).join(short, "last").select("name", "last"))
+    return found
+
+
+def near_words(tokens: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(token, first) with a fuzzy ratio of NEAR or more; both distinct.
+
+    Such a ratio leaves few insertions and deletions: lengths are close, and words of under
+    twenty characters together share an end. Longer ones, cut into a piece more than they
+    have edits, share a piece of three characters at least.
+    """
+    share = 1 - NEAR / 100
+    least, most = (F.length("first") * ((1 - share) / (1 + share)) - 1e-9), (F.length("first") * ((1 + share) / (1 - share)) + 1e-9)
+    sized = firsts.where(F.length("first") > 0).select("first", F.explode(F.sequence(F.ceil(least).cast("int"), F.floor(most).cast("int"))).alias("size"))
+    sizes = F.length("first") + F.col("size")
+    ends = lambda c: F.array(F.concat(F.lit("<"), F.substring(c, 1, 1)), F.concat(F.lit(">"), F.expr(f"right({c}, 1)")))
+    left = tokens.select("token", F.length("token").alias("size"), F.explode(F.concat(ends("token"), F.when(F.length("token") >= 9, grams("token")).otherwise(F.array().cast("array<string>")))).alias("key"))
+    right = sized.select("first", "size", F.explode(F.concat(ends("first"), F.when(sizes >= 20, grams("first")).otherwise(F.array().cast("array<string>")))).alias("key"))
+    pairs = left.join(right, ["size", "key"]).select("token", "first").distinct()
+    return pairs.where(fuzzy_ratio("token", "first") >= NEAR)
+
+
 def candidates(found: DataFrame, roster: DataFrame) -> DataFrame:
-    """(file_id, patient_id), distinct: pairs among which each file's best is. roster: (patient_id, first, last, dob), folded.
+    """(file_id, patient_id, score): pairs among which each file's best is, with its score. roster: (patient_id, first, last, dob), folded.
 
-    Of the patients with a birth date only the least id is paired with the files of that
-    date, as another one can be better by its name only, and is then found by the name.
-    Surnames are looked for in the distinct names of all files.
+    Of the patients who share what a score is for (birth date; birth date and last name;
+    full name; last name and first name; last name) only the least id is paired. A birth
+    date outweighs every name without one, so names alone count for the other files.
+    A birth date with a name reaches the cap, whatever else agrees.
     """
     people = roster.where(F.col("patient_id").isNotNull())
-    born = people.where(F.col("dob").isNotNull()).groupBy("dob").agg(F.min("patient_id").alias("patient_id"))
-    by_dob = found.select("file_id", F.explode("dobs").alias("dob")).distinct().join(born, "dob").select("file_id", "patient_id")
-    names = found.select("file_id", F.explode("names").alias("name")).distinct()
+    least = lambda *keys: people.where(F.col(keys[0]).isNotNull()).groupBy(*keys).agg(F.min("patient_id").alias("patient_id"))
+    scored = lambda df, points: df.select("file_id", "patient_id", F.lit(round(min(points, CAP), 6)).alias("score"))
+    names = found.select("file_id", F.explode("names").alias("name"))
     vocabulary = cut_lineage(names.select("name").distinct())
-    full = people.select("patient_id", F.concat_ws(" ", "first", "last").alias("name")).join(vocabulary, "name").select("name", "patient_id")
-    grams = lambda c: F.expr(f"transform(sequence(1, greatest(length({c}) - 2, 1)), i -> substring({c}, i, 3))")
-    in_names = vocabulary.select("name", F.explode(F.array_distinct(grams("name"))).alias("gram"))
-    counts = in_names.groupBy("gram").agg(F.count("*").alias("n"))
-    of_last = people.where(F.length("last") > 2).select("patient_id", "last", F.explode(F.array_distinct(grams("last"))).alias("gram"))
-    rarest = of_last.join(counts, "gram", "left").groupBy("patient_id", "last").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    last = in_names.join(rarest, "gram").where(F.col("name").contains(F.col("last"))).select("name", "patient_id")
-    short = people.where((F.length("last") > 0) & (F.length("last") < 3)).select("patient_id", F.col("last").alias("gram"))
-    if not short.isEmpty():  # surnames under three characters have no gram of their own
-        last = last.unionAll(vocabulary.select("name", F.explode(F.array_distinct(short_runs("name"))).alias("gram")).join(short, "gram").select("name", "patient_id"))
-    by_name = names.join(full.unionAll(last).distinct(), "name").select("file_id", "patient_id")
-    return by_dob.unionAll(by_name).distinct()
+    inside = cut_lineage(surnames_in(vocabulary, people.select("last").where("length(last) > 0").distinct()))
+    dated = cut_lineage(found.select("file_id", F.explode("dobs").alias("dob")).join(least("dob"), "dob"))
+    lasts = cut_lineage(names.join(inside, "name").select("file_id", "last").distinct())
+    undated = dated.select("file_id").distinct()
+    by_both = dated.select("file_id", "dob").join(lasts, "file_id").join(least("dob", "last"), ["dob", "last"])
+    # A full name without a last name is no case of one inside a name.
+    bare = people.where(F.coalesce(F.length("last"), F.lit(0)) == 0).select(F.concat_ws(" ", "first", "last").alias("name"), "patient_id", "dob").groupBy("name", "dob").agg(F.min("patient_id").alias("patient_id"))
+    by_bare = names.join(bare, "name").join(found.select("file_id", "dobs"), "file_id")
+    by_bare = by_bare.select("file_id", "patient_id", F.when(F.array_contains("dobs", F.col("dob")), min(DOB + FULL, CAP)).otherwise(FULL).alias("score"))
+    left_names, left_lasts = names.join(undated, "file_id", "left_anti"), lasts.join(undated, "file_id", "left_anti")
+    full = people.where(F.length("last") > 0).groupBy(F.concat_ws(" ", "first", "last").alias("name")).agg(F.min("patient_id").alias("patient_id"))
+    words = lambda df: df.select(*(c for c in df.columns if c != "name"), F.explode(F.split("name", " ")).alias("token")).distinct()
+    near = near_words(words(vocabulary), people.select("first").distinct())
+    by_near = words(left_names.join(left_lasts, "file_id", "left_semi")).join(near, "token").select("file_id", "first").distinct().join(left_lasts, "file_id").join(least("last", "first"), ["last", "first"])
+    parts = [scored(dated, DOB), scored(by_both, DOB + LAST), by_bare, scored(left_names.join(full, "name"), FULL), scored(by_near, LAST + FIRST), scored(left_lasts.join(least("last"), "last"), LAST)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def short_runs(name: str) -> Column:
@@ -72,29 +117,11 @@ def short_runs(name: str) -> Column:
     return F.concat(run(1), run(2))
 
 
-def score_pairs(pairs: DataFrame, found: DataFrame, roster: DataFrame) -> DataFrame:
-    """(file_id, patient_id, score) of candidate pairs."""
-    rows = pairs.join(found, "file_id").join(roster.select("patient_id", "first", "last", "dob"), "patient_id")
-    full = F.array_contains("names", F.concat_ws(" ", "first", "last"))
-    last = (F.length("last") > 0) & F.exists("names", lambda n: n.contains(F.col("last")))
-    tokens = rows.where(last & ~full).select("file_id", "patient_id", "first", F.explode(F.array_distinct(F.flatten(F.transform("names", lambda n: F.split(n, " "))))).alias("token"))
-    # A ratio of NEAR leaves few insertions and deletions: lengths are close, and words of under twenty characters together share an end.
-    sizes = F.length("token") + F.length("first")
-    close = F.abs(F.length("token") - F.length("first")) <= sizes * (1 - NEAR / 100) + 1e-9
-    ends = (F.substring("token", 1, 1) == F.substring("first", 1, 1)) | (F.expr("right(token, 1)") == F.expr("right(first, 1)")) | (sizes >= 20)
-    near = tokens.where(close & ends).where(fuzzy_ratio("token", "first") >= NEAR).select("file_id", "patient_id", F.lit(True).alias("near")).distinct()
-    scored = rows.select("file_id", "patient_id", F.array_contains("dobs", F.col("dob")).alias("d"), full.alias("f"), last.alias("l")).join(near, ["file_id", "patient_id"], "left")
-    points = F.when(F.col("d"), DOB).otherwise(0.0) + F.when(F.col("f"), FULL).when(F.col("l"), LAST + F.when(F.col("near"), FIRST).otherwise(0.0)).otherwise(0.0)
-    return scored.select("file_id", "patient_id", F.round(F.least(points, F.lit(CAP)), 6).alias("score"))
-
-
 def best_matches(files: DataFrame, roster: DataFrame, id_col: str, text_col: str, before: tuple[str, ...] = ()) -> DataFrame:
     """(file_id, patient_id, score): the best patient of each file, ties to the smaller id; files without a match have score 0."""
     found = cut_lineage(signals(files, id_col, text_col, before=before))  # names are folded once
-    roster = cut_lineage(roster)
-    scored = score_pairs(candidates(found, roster), found, roster).where("score > 0")
-    order = Window.partitionBy("file_id").orderBy(F.col("score").desc(), "patient_id")
-    best = scored.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    best = candidates(found, cut_lineage(roster)).groupBy("file_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "patient_id")).alias("b"))
+    best = best.select("file_id", F.col("b.patient_id").alias("patient_id"), (-F.col("b.s")).alias("score"))
     return found.select("file_id").join(best, "file_id", "left").select("file_id", "patient_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 

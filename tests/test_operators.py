@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quellwerk.functions import text as text_functions
+from quellwerk.functions.names import indel_ratio
 
 from quellwerk.operators import evaluate, items, linkage, ranks, retrieval, rows
 from quellwerk.operators.sections import build_chunks, extract_sections, merge_small, overlap_windows
@@ -266,6 +267,30 @@ def test_linkage_finds_short_surnames_and_ties(spark):
     assert {r["file_id"]: (r["patient_id"], r["score"]) for r in linkage.best_matches(texts, roster, "f", "t").collect()} == {"short": ("P3", 0.8), "tie": ("P1", 1.0), "both": ("P2", 1.5), "other": ("P4", 1.5)}
 
 
+def test_linkage_by_brute_force(spark):
+    rng = random.Random(7)
+    firsts, lasts = ["anna", "annaa", "hannah", "maximiliane", "maximilianne", "maximilian", "", "karl heinz", "jo"], ["berg", "hollberg", "li", "roth", "", "rothberger"]
+    dates = [f"19{y}-0{m}-03" for y in (60, 61) for m in (1, 2)]
+    people = [(f"P{i:03d}", rng.choice(firsts), rng.choice(lasts), rng.choice([None, *dates])) for i in rng.sample(range(300), 120)]
+    word = lambda: rng.choice(["Anna", "Annaa", "Berg", "Hollberg", "Li", "Roth", "Maximilianne", "Maximiliane", "Ulm", "Jo", "Rothbergers"])
+    line = lambda: f"{word()} {word()} " if rng.random() < 0.7 else f"geb. 03.0{rng.choice('123')}.19{rng.choice(['60', '61'])} "
+    texts = [(f"f{i}", "\n".join(line() for _ in range(rng.randrange(3)))) for i in range(150)]
+    roster = spark.createDataFrame(people, "patient_id string, first string, last string, dob string").withColumn("dob", F.col("dob").cast("date"))
+    files = spark.createDataFrame(texts, "f string, t string")
+    signals = {r["file_id"]: (r["names"], [str(d) for d in r["dobs"]]) for r in linkage.signals(files, "f", "t").collect()}
+    pairs = linkage.candidates(linkage.signals(files, "f", "t"), roster)
+    assert pairs.count() < 12 * len(texts)  # a patient for each date or name, not all that share them
+    got = {r["file_id"]: (r["patient_id"], r["score"]) for r in linkage.best_matches(files, roster, "f", "t").collect()}
+    for f, (found, dobs) in signals.items():
+        tokens = {t for n in found for t in n.split(" ")}
+        best = (0.0, None)
+        for p, first, last, dob in sorted(people):
+            name = 0.8 if f"{first} {last}" in found else 0.5 + 0.3 * any(indel_ratio(t, first) >= 90 for t in tokens) if last and any(last in n for n in found) else 0.0
+            score = round(min(1.5, (dob in dobs) + name), 6)
+            best = (score, p) if score > best[0] else best
+        assert got[f] == best[::-1], f
+
+
 def test_linkage_reads_whole_files(spark):
     roster = spark.createDataFrame([("P1", "anna", "berg", "1960-07-03")], "patient_id string, first string, last string, dob string").withColumn("dob", F.col("dob").cast("date"))
     late = "\n".join(["zeile"] * 130)
