@@ -201,6 +201,21 @@ def test_an_index_is_written_once_and_read_again(spark, tmp_path):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, retrieval.bm25_search(index, asked, 5).collect()))
 
 
+def test_an_index_holds_frequent_terms_in_full(spark):
+    docs = [("d0", "x", "milz " * 400 + "leber"), ("d1", "x", "milz leber"), ("d2", "x", "leber " * 255), ("d3", "x", None)]
+    queries = [(1, "x", "milz"), (2, "x", "leber zyste")]
+    frame, asked = spark.createDataFrame(docs, "id string, g string, t string"), spark.createDataFrame(queries, "query_id int, g string, text string")
+    for cut, count in ((retrieval.cut_grams, retrieval.grams_of), (retrieval.cut_stems, retrieval.stems_of)):
+        only = retrieval.asked_terms(asked, "text", cut)
+        assert len(only) == len(set().union(*(count(t) for _, _, t in queries))) and retrieval.asked_terms(asked, "text", cut, 1) is None
+        full, part = (retrieval.search_index(frame, "id", "t", cut, ("g",), x) for x in (None, only))
+        assert part.agg(F.sum(F.length("codes"))).first()[0] < full.agg(F.sum(F.length("codes"))).first()[0] or cut is retrieval.cut_stems
+        for index in (full, part):
+            found = {(r["query_id"], r["id"]): r["score"] for r in retrieval.bm25_search(index, asked, 4, cut).collect()}
+            wanted = brute_bm25(docs, queries, count, False, False)
+            assert set(found) == set(wanted) and all(abs(found[x] - wanted[x]) < 2e-6 for x in wanted)
+
+
 def test_grams_of_lists_equal_those_of_texts():
     texts = [None, "", "a", "Ab", "!!", "Öl-X", "a" * 700, "Ab  c!", "ßä", *("".join(random.Random(i).choices("aÄ ß-9_İ", k=i)) for i in range(40))]
     rows, codes, tfs, sizes = retrieval.cut_grams(texts)
