@@ -216,6 +216,15 @@ def test_an_index_holds_frequent_terms_in_full(spark):
             assert set(found) == set(wanted) and all(abs(found[x] - wanted[x]) < 2e-6 for x in wanted)
 
 
+def test_texts_of_sections_are_shuffled_once(spark, small):
+    from quellwerk.plans import search, tables
+
+    rows = tables.sections(spark, small, "section_content", even=True)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(str, rows.collect())) == sorted(map(str, tables.sections(spark, small, "section_content").collect()))
+    assert search._section_index(spark, small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def test_grams_of_lists_equal_those_of_texts():
     texts = [None, "", "a", "Ab", "!!", "Öl-X", "a" * 700, "Ab  c!", "ßä", *("".join(random.Random(i).choices("aÄ ß-9_İ", k=i)) for i in range(40))]
     rows, codes, tfs, sizes = retrieval.cut_grams(texts)
